@@ -1 +1,68 @@
-"""pending"""
+"""Structured Streaming queries over landed files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from airloom.catalog import base
+from airloom.catalog.base import M, query
+from airloom.catalog.landing import INGEST_HIST
+from airloom.catalog.rows import nested_record
+from airloom.plans.ingest import since_bookmark
+from airloom.session import scratch_path
+from airloom.sources.store import MeasurementStore
+from airloom.streaming.daily import daily_means_stream, write_closed_days
+from airloom.streaming.ingest import stream_ingest, stream_records
+
+
+def land_lines(spark, sf_dir, files: int = 3) -> str:
+    """Records as JSON lines in a few files, so that several micro-batches run."""
+    m = base.measurements(spark, sf_dir)
+    path = scratch_path(spark, "lines")
+    m.select(nested_record(m).alias("r")).select("r.*").repartition(files).write.json(path)
+    return path
+
+
+@query("streamed_ingest", "STR-1 STR-2 STR-7", f"""
+WITH {INGEST_HIST} SELECT location_id, parameter_id, count(*) AS n, max(datetime_to_utc)::VARCHAR AS latest FROM hk GROUP BY 1, 2""")
+def streamed_ingest(spark, sf_dir):
+    records = stream_records(spark, land_lines(spark, sf_dir), files_per_batch=2)
+    kept = MeasurementStore(spark, scratch_path(spark, "store"), records.schema)
+    stream_ingest(records, kept, scratch_path(spark, "checkpoint"), ["source_file", "value"]).awaitTermination()
+    return kept.read().groupBy("location_id", "parameter_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("datetime_to_utc").alias("latest")
+    )
+
+
+@query("streamed_state", "STR-1 SNK-4", f"""
+WITH {INGEST_HIST} SELECT location_id, parameter, max(datetime_to_utc)::VARCHAR AS last_fetch_time FROM bk GROUP BY 1, 2""")
+def streamed_state(spark, sf_dir):
+    records = stream_records(spark, land_lines(spark, sf_dir), files_per_batch=2)
+    kept = MeasurementStore(spark, scratch_path(spark, "store"), records.schema)
+    stream_ingest(records, kept, scratch_path(spark, "checkpoint"), ["source_file", "value"]).awaitTermination()
+    return kept.read_state().select("location_id", "parameter", "last_fetch_time")
+
+
+@query("streamed_daily_means", "STR-6 STR-4", f"""
+WITH {M}, e AS (SELECT max(datetime_local) AS latest FROM m)
+SELECT parameter, location_id, datetime_local::DATE::VARCHAR AS date, round(avg(value) + 1e-9, 6) AS mean, count(*) AS n
+FROM m, e WHERE datetime_local::DATE + INTERVAL 1 DAY <= latest - INTERVAL 1 DAY GROUP BY 1, 2, 3""")
+def streamed_daily_means(spark, sf_dir):
+    """Days the watermark has closed; the last ones stay open."""
+    records = stream_records(spark, land_lines(spark, sf_dir, 1))
+    path, checkpoint = scratch_path(spark, "daily"), scratch_path(spark, "checkpoint")
+    means = daily_means_stream(records)
+    write_closed_days(means, path, checkpoint).awaitTermination()
+    return spark.read.schema(means.schema).parquet(path)
+
+
+@query("late_sensor_records", "STR-3", f"""
+WITH {M}, b AS (SELECT location_id, parameter, max(datetime_to_utc) AS mark FROM m WHERE datetime_utc < TIMESTAMP '2024-01-16' GROUP BY 1, 2)
+SELECT seq, location_id, parameter FROM m LEFT JOIN b USING (location_id, parameter) WHERE mark IS NULL OR datetime_utc >= mark - INTERVAL 2 DAY""")
+def late_sensor_records(spark, sf_dir):
+    """Bookmarks per location and parameter with two days of allowed lateness."""
+    m = base.measurements(spark, sf_dir)
+    state = m.where("datetime_utc < TIMESTAMP_NTZ '2024-01-16 00:00:00'").groupBy("location_id", "parameter").agg(
+        F.max("datetime_to_utc").alias("last_fetch_time")
+    )
+    return since_bookmark(m, state, "2 days").select("seq", "location_id", "parameter")

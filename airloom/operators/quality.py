@@ -21,39 +21,70 @@ def range_rules(spark, ranges: dict[str, tuple[float, float]] | None = None, ali
     return spark.createDataFrame(rows, "rule_parameter string, lowest double, highest double")
 
 
-def schema_errors(record: Column) -> list[Column]:
+def opened(records: DataFrame, record: str = "record") -> DataFrame:
+    """Adds ``_f``: the parts of each VARIANT record that the rules look at.
+
+    A part is NULL where it is missing and a JSON null where it is null; the
+    two objects are NULL where the value is not an object. Each part is taken
+    out once, and the rules below are plain comparisons on typed columns.
+    """
+    fields = ", ".join(f"{f}: variant" for f in fixed.REQUIRED_FIELDS)
+    top = records.withColumn("_top", F.expr(f"try_variant_get({record}, '$', 'struct<{fields}>')"))
+    parts = top.selectExpr(
+        *records.columns, "_top",
+        "try_variant_get(_top.parameter, '$', 'struct<id: variant, name: variant>') AS _parameter",
+        "try_variant_get(_top.period, '$', 'struct<datetimeFrom: variant>') AS _period",
+        "schema_of_variant(_top.value) AS _type",
+    )
+    return parts.selectExpr(
+        *records.columns,
+        *[f"_top.{f} IS NOT NULL AS _has_{f}" for f in fixed.REQUIRED_FIELDS],
+        "_parameter IS NOT NULL AS _parameter_object",
+        "_parameter.id IS NOT NULL AND _parameter.name IS NOT NULL AS _parameter_whole",
+        "_period IS NOT NULL AS _period_object", "_period.datetimeFrom IS NOT NULL AS _period_whole",
+        "try_variant_get(_parameter.name, '$', 'string') AS _name",
+        "try_variant_get(_period.datetimeFrom, '$.utc', 'string') AS _start",
+        "_top.value IS NOT NULL AND _type <> 'VOID' AS _given",
+        "CASE WHEN _type RLIKE '^(BIGINT|DOUBLE|FLOAT|DECIMAL)' THEN try_variant_get(_top.value, '$', 'double') END AS _number",
+        "try_variant_get(_top.value, '$', 'string') AS _shown", "_type = 'BIGINT' AS _whole",
+    )
+
+
+def schema_errors() -> list[Column]:
     """One CASE per rule; a field that is present but null counts as present."""
-    checks = [
-        F.when(~nested.has_field(record, f), F.lit(fixed.MISSING_FIELD + f)) for f in fixed.REQUIRED_FIELDS
-    ]
-    for name, parts, not_object, incomplete in (
-        ("parameter", ("id", "name"), fixed.PARAMETER_NOT_OBJECT, fixed.PARAMETER_INCOMPLETE),
-        ("period", ("datetimeFrom",), fixed.PERIOD_NOT_OBJECT, fixed.PERIOD_INCOMPLETE),
+    checks = [F.when(~F.col(f"_has_{f}"), F.lit(fixed.MISSING_FIELD + f)) for f in fixed.REQUIRED_FIELDS]
+    for name, not_object, incomplete in (
+        ("parameter", fixed.PARAMETER_NOT_OBJECT, fixed.PARAMETER_INCOMPLETE),
+        ("period", fixed.PERIOD_NOT_OBJECT, fixed.PERIOD_INCOMPLETE),
     ):
-        value = nested.field(record, name)
-        lacking = F.lit(False)
-        for part in parts:
-            lacking = lacking | ~nested.has_field(record, f"{name}.{part}")
-        checks.append(
-            F.when(
-                nested.has_field(record, name),
-                F.when(~nested.is_object(value), F.lit(not_object)).when(lacking, F.lit(incomplete)),
-            )
-        )
+        trouble = F.when(~F.col(f"_{name}_object"), F.lit(not_object)).when(~F.col(f"_{name}_whole"), F.lit(incomplete))
+        checks.append(F.when(F.col(f"_has_{name}"), trouble))
     return checks
 
 
-def time_errors(text: Column, as_of: Column) -> list[Column]:
+def time_errors() -> list[Column]:
     """Checks of the start time; an absent or empty one is left to the schema rules."""
-    given = text.isNotNull() & (text != "")
-    at = text.try_cast("timestamp")
-    readable = calendar.is_iso(text)
+    given = F.col("_start") != ""
+    text = F.col("_start")
     return [
-        F.when(given & ~F.coalesce(readable, F.lit(False)), F.concat(F.lit(fixed.TIME_INVALID), text)),
-        F.when(given & readable & (at > as_of), F.concat(F.lit(fixed.TIME_IN_FUTURE), text)),
+        F.when(given & ~F.col("_readable"), F.concat(F.lit(fixed.TIME_INVALID), text)),
+        F.when(given & F.col("_readable") & (F.col("_age_days") < 0), F.concat(F.lit(fixed.TIME_IN_FUTURE), text)),
         F.when(
-            given & readable & (calendar.elapsed_days(at, as_of) > fixed.MAX_AGE_DAYS),
-            F.concat(F.lit(fixed.TIME_TOO_OLD), text),
+            given & F.col("_readable") & (F.col("_age_days") > fixed.MAX_AGE_DAYS), F.concat(F.lit(fixed.TIME_TOO_OLD), text)
+        ),
+    ]
+
+
+def range_warnings() -> list[Column]:
+    """Checks of a value that a rule exists for; a null or absent value passes."""
+    ruled = F.col("rule_parameter").isNotNull() & F.col("_given")
+    shown = F.when(F.col("_number").isNotNull() & ~F.col("_whole"), F.col("_number").cast("string")).otherwise(F.col("_shown"))
+    limits = F.format_string(" outside valid range [%d, %d]", F.col("lowest").cast("long"), F.col("highest").cast("long"))
+    return [
+        F.when(ruled & F.col("_number").isNull(), F.concat(F.lit(fixed.VALUE_NOT_NUMERIC), F.coalesce(shown, F.lit("")))),
+        F.when(
+            ruled & ~F.col("_number").between(F.col("lowest"), F.col("highest")),
+            F.concat(F.col("_name"), F.lit(" value "), shown, limits),
         ),
     ]
 
@@ -64,31 +95,20 @@ def validate(records: DataFrame, rules: DataFrame, as_of: str, record: str = "re
     Range violations are warnings: the record stays valid. The rule table is
     small by nature (one row per parameter) and built on the driver.
     """
-    rec = F.col(record)
-    name = nested.field(rec, "parameter.name", "string")
-    value = nested.field(rec, "value")
-    number = F.when(nested.is_number(value), F.try_variant_get(value, "$", "double"))
-    shown = F.try_variant_get(value, "$", "string")
-    joined = records.withColumn("_name", name).join(
-        F.broadcast(rules), F.col("_name") == F.col("rule_parameter"), "left"
-    )
-    ruled = F.col("rule_parameter").isNotNull() & value.isNotNull() & ~nested.is_json_null(value)
-    limits = F.format_string("[%d, %d]", F.col("lowest").cast("long"), F.col("highest").cast("long"))
-    warnings = [
-        F.when(ruled & number.isNull(), F.concat(F.lit(fixed.VALUE_NOT_NUMERIC), F.coalesce(shown, F.to_json(value)))),
-        F.when(
-            ruled & ~number.between(F.col("lowest"), F.col("highest")),
-            F.concat(F.col("_name"), F.lit(" value "), shown, F.lit(" outside valid range "), limits),
-        ),
-    ]
-    started = nested.field(rec, "period.datetimeFrom.utc", "string")
+    moment = F.col("_start").try_cast("timestamp")
     at = F.lit(as_of).cast("timestamp")
-    return (
-        joined.withColumn("errors", nested.kept(*schema_errors(rec), *time_errors(started, at)))
-        .withColumn("warnings", nested.kept(*warnings))
-        .withColumn("valid", F.size("errors") == 0)
-        .drop("_name", "rule_parameter", "lowest", "highest")
+    # a time in the future has a negative age, even by less than a day
+    age = F.when(moment > at, F.lit(-1)).otherwise(calendar.elapsed_days(moment, at))
+    timed = opened(records, record).withColumns({
+        "_readable": F.coalesce(calendar.is_iso(F.col("_start")), F.lit(False)), "_age_days": age,
+    })
+    joined = timed.join(F.broadcast(rules), F.col("_name") == F.col("rule_parameter"), "left")
+    verdict = F.struct(
+        nested.kept(*schema_errors(), *time_errors()).alias("errors"), nested.kept(*range_warnings()).alias("warnings")
     )
+    # unpacking through a generator keeps later filters from repeating the rules
+    judged = joined.withColumn("_verdict", verdict).select(*records.columns, F.inline(F.array("_verdict")))
+    return judged.withColumn("valid", F.size("errors") == 0)
 
 
 def quality_metrics(validated: DataFrame, *keys: str) -> DataFrame:
