@@ -13,6 +13,8 @@ from airloom.session import stage
 from airloom.sources.store import PARTITIONS, MeasurementStore, with_month
 
 STATE_KEY = ["location_id", "parameter"]
+# Longest list of partition values that is turned into a filter.
+PARTITION_LIST = 5_000
 
 
 def since_bookmark(records: DataFrame, state: DataFrame, lateness: str = "0 seconds", ts: str = "datetime_utc", keys: list[str] | None = None) -> DataFrame:
@@ -28,13 +30,20 @@ def since_bookmark(records: DataFrame, state: DataFrame, lateness: str = "0 seco
     return joined.where(reached).drop("_mark")
 
 
-def touched_history(history: DataFrame, batch: DataFrame) -> DataFrame:
+def touched_history(history: DataFrame, batch: DataFrame, most: int = PARTITION_LIST) -> DataFrame:
     """The partitions of the history that the batch can collide with.
 
-    The staged list of partitions lets Spark prune the history at run time.
+    Short lists of locations and months become literal partition filters, so
+    other partitions are not even opened. A column with a longer list is not
+    filtered: pruning only saves reading, the anti join decides.
     """
     touched = stage(with_month(batch).select(*PARTITIONS).distinct(), "touched_partitions")
-    return history.join(touched, PARTITIONS, "left_semi")
+    for column in PARTITIONS:
+        values = [row[0] for row in touched.select(column).distinct().limit(most + 1).collect()]
+        if len(values) <= most:
+            known = F.col(column).isin([v for v in values if v is not None])
+            history = history.where(known | F.col(column).isNull() if None in values else known)
+    return history
 
 
 def location_stats(fetched: DataFrame, new: DataFrame, history: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
