@@ -154,7 +154,7 @@ SELECT location_id, parameter, max(datetime_to_utc)::VARCHAR AS last_fetch_time,
   '{RUN_TIME}' AS last_successful_run FROM f LEFT JOIN c USING (location_id, parameter) GROUP BY 1, 2""")
 def next_bookmarks(spark, sf_dir):
     _, fetched, new = new_rows(spark, sf_dir)
-    return plan.next_state(fetched, new, RUN_TIME)
+    return plan.next_state(fetched, plan.new_counts(new), RUN_TIME)
 
 
 MERGE = f"""{M}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location_id, datetime_utc, parameter_id ORDER BY seq) AS rn FROM m) WHERE rn = 1),

@@ -17,7 +17,7 @@ AS_OF = "2024-01-31 00:00:00"
 # Which k damages what, the same in both engines:
 #  3 no parameter          7 parameter as text      11 parameter without id
 # 13 no value             17 value null             19 value as text
-# 23 value negated        29 no period              31 period as text
+# 23 value times -1000       29 no period              31 period as text
 # 37 no start time        41 ten years later        43 ten years earlier
 # 47 unreadable time      53 bare year              59 no locationId
 # 61 value times 1000
@@ -35,7 +35,7 @@ def damaged_records(spark, sf_dir) -> DataFrame:
         parts = [F.concat(F.lit(f'"{name}":'), c) for name, c in fields]
         return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
-    shown = F.when(k == 23, -F.col("value")).when(k == 61, F.col("value") * 1000).otherwise(F.col("value")).cast("string")
+    shown = F.when(k == 23, F.col("value") * -1000).when(k == 61, F.col("value") * 1000).otherwise(F.col("value")).cast("string")
     value = F.when(k == 17, F.lit("null")).when(k == 19, text(F.lit("bad"))).when(k != 13, shown)
     plain_id = F.when(k != 11, F.col("parameter_id").cast("string"))
     parameter = F.when(k == 7, text(F.col("parameter"))).when(
@@ -61,7 +61,7 @@ def validated(spark, sf_dir) -> DataFrame:
 
 V = f"""{M},
 c AS (SELECT seq, location_id, parameter, k,
-  CASE WHEN k = 23 THEN -value WHEN k = 61 THEN value * 1000 ELSE value END AS v,
+  CASE WHEN k = 23 THEN value * -1000 WHEN k = 61 THEN value * 1000 ELSE value END AS v,
   CASE WHEN k = 41 THEN datetime_utc + INTERVAL 10 YEAR WHEN k = 43 THEN datetime_utc - INTERVAL 10 YEAR ELSE datetime_utc END AS moment,
   CASE WHEN parameter = 'temperature' THEN -50 ELSE 0 END AS lo,
   CASE parameter WHEN 'temperature' THEN 60 WHEN 'o3' THEN 500 ELSE 1000 END AS hi,

@@ -78,7 +78,9 @@ def time_errors() -> list[Column]:
 def range_warnings() -> list[Column]:
     """Checks of a value that a rule exists for; a null or absent value passes."""
     ruled = F.col("rule_parameter").isNotNull() & F.col("_given")
-    shown = F.when(F.col("_number").isNotNull() & ~F.col("_whole"), F.col("_number").cast("string")).otherwise(F.col("_shown"))
+    # a fraction that is zero is not kept by the parser, but was given
+    bare = F.col("_number").isNotNull() & ~F.col("_whole") & ~F.col("_shown").contains(".")
+    shown = F.when(bare, F.concat(F.col("_shown"), F.lit(".0"))).otherwise(F.col("_shown"))
     limits = F.format_string(" outside valid range [%d, %d]", F.col("lowest").cast("long"), F.col("highest").cast("long"))
     return [
         F.when(ruled & F.col("_number").isNull(), F.concat(F.lit(fixed.VALUE_NOT_NUMERIC), F.coalesce(shown, F.lit("")))),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airloom import schema
@@ -30,20 +32,41 @@ def since_bookmark(records: DataFrame, state: DataFrame, lateness: str = "0 seco
     return joined.where(reached).drop("_mark")
 
 
-def touched_history(history: DataFrame, batch: DataFrame, most: int = PARTITION_LIST) -> DataFrame:
-    """The partitions of the history that the batch can collide with.
+def touched_partitions(batch: DataFrame, most: int = PARTITION_LIST) -> Column:
+    """Filter on the store's partitions that the batch can collide with.
 
     Short lists of locations and months become literal partition filters, so
     other partitions are not even opened. A column with a longer list is not
     filtered: pruning only saves reading, the anti join decides.
     """
     touched = stage(with_month(batch).select(*PARTITIONS).distinct(), "touched_partitions")
+    inside = F.lit(True)
     for column in PARTITIONS:
         values = [row[0] for row in touched.select(column).distinct().limit(most + 1).collect()]
         if len(values) <= most:
             known = F.col(column).isin([v for v in values if v is not None])
-            history = history.where(known | F.col(column).isNull() if None in values else known)
-    return history
+            inside = inside & (known | F.col(column).isNull() if None in values else known)
+    return inside
+
+
+def _count(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("location_id").agg(F.count(F.lit(1)).alias(name))
+
+
+def _stats(counts: list[DataFrame]) -> DataFrame:
+    """Counts per location from frames that each hold one or more of the counters."""
+    rows = counts[0]
+    for part in counts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    names = ["fetched", "new", "total", "rejected"]
+    missing = {n: F.lit(None).cast("long") for n in names if n not in rows.columns}
+    totals = rows.withColumns(missing).groupBy("location_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    failed = (F.col("rejected") > 0) & (F.col("fetched") == 0)
+    return totals.select(
+        "location_id", F.col("fetched").alias("fetched_records"), F.col("new").alias("new_records"),
+        (F.col("fetched") - F.col("new")).alias("duplicates_removed"), F.col("total").alias("total_records"),
+        F.when(failed, "error").otherwise("success").alias("status"),
+    )
 
 
 def location_stats(fetched: DataFrame, new: DataFrame, history: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
@@ -52,29 +75,11 @@ def location_stats(fetched: DataFrame, new: DataFrame, history: DataFrame, rejec
     A location fails when it had rejected records and no usable one; it does
     not stop the others.
     """
-    n = F.count(F.lit(1))
-    parts = [
-        fetched.groupBy("location_id").agg(n.alias("fetched_records")),
-        new.groupBy("location_id").agg(n.alias("new_records")),
-        history.groupBy("location_id").agg(n.alias("_before")),
-    ]
-    counters = ["fetched_records", "new_records", "_before", "_rejected"]
+    added = _count(new, "new").withColumn("total", F.col("new"))
+    counts = [_count(fetched, "fetched"), added, _count(history, "total")]
     if rejected is not None:
-        parts.append(rejected.groupBy("location_id").agg(n.alias("_rejected")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    for c in counters:
-        if c not in rows.columns:
-            rows = rows.withColumn(c, F.lit(None).cast("long"))
-    totals = rows.groupBy("location_id").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
-    failed = (F.col("_rejected") > 0) & (F.col("fetched_records") == 0)
-    return totals.select(
-        "location_id", "fetched_records", "new_records",
-        (F.col("fetched_records") - F.col("new_records")).alias("duplicates_removed"),
-        (F.col("_before") + F.col("new_records")).alias("total_records"),
-        F.when(failed, "error").otherwise("success").alias("status"),
-    )
+        counts.append(_count(rejected, "rejected"))
+    return _stats(counts)
 
 
 def run_summary(stats: DataFrame) -> DataFrame:
@@ -86,33 +91,45 @@ def run_summary(stats: DataFrame) -> DataFrame:
     )
 
 
-def next_state(fetched: DataFrame, new: DataFrame, run_time: str) -> DataFrame:
+def next_state(fetched: DataFrame, new_counts: DataFrame, run_time: str) -> DataFrame:
     """Bookmark rows to upsert: only keys that were fetched move.
 
-    Only duplicates count as fetched, too: the time stays, the count becomes 0.
+    ``new_counts`` holds (location_id, parameter, new). Only duplicates count
+    as fetched, too: the time stays, the count becomes 0.
     """
     marks = high_watermarks(fetched, tuple(STATE_KEY))
-    counts = new.groupBy(*STATE_KEY).agg(F.count(F.lit(1)).alias("last_records_count"))
-    rows = null_safe_join(marks, counts, STATE_KEY, "left")
+    rows = null_safe_join(marks, new_counts.select(*STATE_KEY, "new"), STATE_KEY, "left")
     return rows.select(
         *STATE_KEY, "last_fetch_time",
-        F.coalesce("last_records_count", F.lit(0)).cast("long").alias("last_records_count"),
+        F.coalesce("new", F.lit(0)).cast("long").alias("last_records_count"),
         F.lit(run_time).cast("timestamp_ntz").alias("last_successful_run"),
     )
 
 
-def ingest(store: MeasurementStore, fetched: DataFrame, run_time: str, order: list[str], keys: list[str] | None = None) -> DataFrame:
+def new_counts(new: DataFrame) -> DataFrame:
+    return new.groupBy(*STATE_KEY).agg(F.count(F.lit(1)).alias("new"))
+
+
+def ingest(
+    store: MeasurementStore, fetched: DataFrame, run_time: str, order: list[str],
+    keys: list[str] | None = None, with_stats: bool = True,
+) -> DataFrame | None:
     """Append what is new, move the bookmarks, return statistics per location.
 
-    Safe to run again with the same batch: the second run finds only duplicates.
+    The batch is read from its source once. New rows go straight to the store,
+    marked with the run, and are counted there. Safe to run again with the
+    same batch: the second run finds only duplicates.
     """
     keys = keys or schema.INGEST_KEY
+    run = uuid.uuid4().hex
     fetched = stage(fetched, "fetched")
-    history = store.read()
-    new = stage(not_in(keep_first(fetched, keys, order), touched_history(history, fetched), keys), "new_records")
-    before = stage(
-        location_stats(fetched, new, history), "ingest_stats"
-    )
-    store.append(new)
-    store.write_state(next_state(fetched, new, run_time))
-    return before
+    touched = touched_partitions(fetched)
+    new = not_in(keep_first(fetched, keys, order), store.read().where(touched), keys)
+    store.append(new.withColumn("ingest_run", F.lit(run)))
+    added = stage(new_counts(store.read().where(touched & (F.col("ingest_run") == run))), "new_counts")
+    store.write_state(next_state(fetched, added, run_time))
+    if not with_stats:
+        return None
+    by_location = added.groupBy("location_id").agg(F.sum("new").alias("new"))
+    # location_id is a partition column, so the total reads file footers only
+    return stage(_stats([_count(fetched, "fetched"), by_location, _count(store.read(), "total")]), "ingest_stats")

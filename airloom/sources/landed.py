@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from airloom import fixed_values as fixed
 from airloom import schema
-from airloom.functions import calendar, nested
+from airloom.functions import calendar
 from airloom.functions.text import location_id_from_path
 
 NOT_JSON = "document is not JSON"
 NOT_ARRAY = "document is not an array of records"
+# Typed parts of a record; a part of another type is NULL, the rest stays.
+_OPEN_RECORD = (
+    "struct<value: double, parameter: variant, locationId: bigint, sensors: array<struct<id: bigint>>, sensorId: bigint, "
+    "period: struct<datetimeFrom: struct<utc: string, local: string>, datetimeTo: struct<utc: string>>>"
+)
 
 
 def read_documents(spark: SparkSession, path: str | list[str], whole_files: bool = True) -> DataFrame:
@@ -54,38 +59,36 @@ def typed_records(records: DataFrame, adapt_plain_parameter: bool = False) -> Da
     are there and differ, the record is rejected. ``adapt_plain_parameter``
     accepts a parameter given as plain text with a top-level ``sensorId``.
     """
-    rec = F.col("record")
-    name = nested.field(rec, "parameter.name", "string")
-    sensor = nested.field(rec, "sensors[0].id", "long")
+    opened = records.selectExpr(
+        *records.columns, f"try_variant_get(record, '$', '{_OPEN_RECORD}') AS _r",
+    ).selectExpr("*", "try_variant_get(_r.parameter, '$', 'struct<id: bigint, name: string, units: string>') AS _p")
     if adapt_plain_parameter:
-        plain = F.when(
-            nested.type_name(nested.field(rec, "parameter")) == "STRING", nested.field(rec, "parameter", "string")
-        )
-        name = F.coalesce(name, plain)
-        sensor = F.coalesce(sensor, nested.field(rec, "sensorId", "long"))
-    start = nested.field(rec, "period.datetimeFrom.utc", "string")
-    local = nested.field(rec, "period.datetimeFrom.local", "string")
-    own, named = nested.field(rec, "locationId", "long"), location_id_from_path(F.col("source_file"))
-    typed = records.select(
-        *[c for c in records.columns if c != "record"],
-        F.coalesce(own, named).alias("location_id"),
-        nested.field(rec, "parameter.id", "long").alias("parameter_id"),
-        name.alias("parameter"),
-        nested.field(rec, "parameter.units", "string").alias("units"),
-        nested.field(rec, "value", "double").alias("value"),
-        calendar.parse_utc(start).alias("datetime_utc"),
-        calendar.parse_local(local).alias("datetime_local"),
-        calendar.utc_offset(local).alias("utc_offset"),
-        calendar.parse_utc(nested.field(rec, "period.datetimeTo.utc", "string")).alias("datetime_to_utc"),
-        sensor.alias("sensor_id"),
-        F.when(own != named, F.lit("location differs from file name"))
-        .when(~nested.is_object(rec), F.lit("record is not an object"))
-        .when(name.isNull(), F.lit("no parameter name"))
-        .when(calendar.parse_utc(start).isNull(), F.lit("no start time"))
-        .alias("reject_reason"),
-        F.to_json(rec).alias("raw"),
+        plain = "CASE WHEN schema_of_variant(_r.parameter) = 'STRING' THEN try_variant_get(_r.parameter, '$', 'string') END"
+        name, sensor = f"coalesce(_p.name, {plain})", "coalesce(get(_r.sensors, 0).id, _r.sensorId)"
+    else:
+        name, sensor = "_p.name", "get(_r.sensors, 0).id"
+    start, local = F.col("_r.period.datetimeFrom.utc"), F.col("_r.period.datetimeFrom.local")
+    typed = F.struct(
+        F.col("_r").isNotNull().alias("_object"),
+        F.col("_r.locationId").alias("_own"), location_id_from_path(F.col("source_file")).alias("_named"),
+        F.col("_p.id").alias("parameter_id"), F.expr(name).alias("parameter"), F.col("_p.units").alias("units"),
+        F.col("_r.value").alias("value"), calendar.parse_utc(start).alias("datetime_utc"),
+        calendar.parse_local(local).alias("datetime_local"), calendar.utc_offset(local).alias("utc_offset"),
+        calendar.parse_utc(F.col("_r.period.datetimeTo.utc")).alias("datetime_to_utc"), F.expr(sensor).alias("sensor_id"),
+    )
+    # unpacking through a generator keeps later filters from repeating the parsing
+    typed = opened.withColumn("_typed", typed).select(*records.columns, F.inline(F.array("_typed")))
+    reason = (
+        F.when(~F.col("_object"), "record is not an object")
+        .when(F.col("_own") != F.col("_named"), "location differs from file name")
+        .when(F.col("parameter").isNull(), "no parameter name")
+        .when(F.col("datetime_utc").isNull(), "no start time")
+    )
+    flat_names = [c for c in typed.columns if c not in ("record", "_object", "_own", "_named")]
+    return typed.select(
+        *flat_names, F.coalesce("_own", "_named").alias("location_id"), reason.alias("reject_reason"),
+        F.to_json("record").alias("raw"),
     )
-    return typed
 
 
 def accepted(typed: DataFrame) -> DataFrame:

@@ -39,16 +39,21 @@ def _arranged(df: DataFrame) -> DataFrame:
 
 
 class MeasurementStore:
-    """Measurements under one root, partitioned by location and month."""
+    """Measurements under one root, partitioned by location and month.
+
+    ``ingest_run`` names the load a row came with; rows written otherwise have
+    none.
+    """
 
     def __init__(self, spark: SparkSession, root: str, row_type: T.StructType):
         self.spark = spark
         self.root = root.rstrip("/")
         self.data = f"{self.root}/measurements"
-        fields = [f for f in row_type.fields if f.name not in PARTITIONS]
-        self.row_type = T.StructType(
-            [*fields, T.StructField("location_id", T.LongType()), T.StructField("event_month", T.StringType())]
-        )
+        fields = [f for f in row_type.fields if f.name not in (*PARTITIONS, "ingest_run")]
+        self.row_type = T.StructType([
+            *fields, T.StructField("ingest_run", T.StringType()),
+            T.StructField("location_id", T.LongType()), T.StructField("event_month", T.StringType()),
+        ])
 
     # measurements
     def read(self) -> DataFrame:

@@ -39,7 +39,7 @@ def stream_ingest(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        ingest(store, batch, now, order, keys)
+        ingest(store, batch, now, order, keys, with_stats=False)
 
     writer = records.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
