@@ -116,10 +116,9 @@ def sensor_directory(spark, sf_dir):
     m = base.measurements(spark, sf_dir)
     name = F.when(F.col("parameter") != "relativehumidity", F.col("parameter"))
     sensor = F.struct(F.col("sensor_id").alias("id"), F.struct(name.alias("name")).alias("parameter"))
-    # the response of one location lists its sensors: distinct, not per reading
-    sensors = m.select("location_id", sensor.alias("sensor")).distinct().groupBy("location_id").agg(
-        F.collect_list("sensor").alias("sensors")
-    )
+    # a response lists distinct sensors of one location, of a thousand ids at most
+    listed = m.select("location_id", F.floor(F.col("sensor_id") / 1000).alias("page"), sensor.alias("sensor")).distinct()
+    sensors = listed.groupBy("location_id", "page").agg(F.collect_list("sensor").alias("sensors"))
     label = F.concat(F.lit("place "), F.col("location_id").cast("string"))
     location = F.struct(F.col("location_id").alias("id"), label.alias("name"), "sensors")
     path = scratch_path(spark, "directory")

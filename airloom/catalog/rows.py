@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from airloom import fixed_values as fixed
 from airloom.catalog import base
 from airloom.catalog.base import A, LM, M, NAMES, query
 from airloom.functions import calendar, reference_levels, text
@@ -146,16 +147,11 @@ BANDS = """b(band_low, band_high, index_low, index_high) AS (VALUES
 WITH {M}, {BANDS} SELECT seq, band_low, band_high, index_low::BIGINT AS index_low, index_high::BIGINT AS index_high
 FROM m LEFT JOIN b ON value BETWEEN band_low AND band_high WHERE parameter = 'pm25'""")
 def aqi_band_of_reading(spark, sf_dir):
-    from airloom import fixed_values as fixed
-
-    bands = spark.createDataFrame(
-        [tuple(map(float, b)) for b in fixed.PM25_BANDS],
-        "band_low double, band_high double, index_low double, index_high double",
-    )
     pm25 = base.measurements(spark, sf_dir).where("parameter = 'pm25'")
-    # six rows, known here
-    return pm25.join(F.broadcast(bands), F.col("value").between(F.col("band_low"), F.col("band_high")), "left").select(
-        "seq", "band_low", "band_high", F.col("index_low").cast("long"), F.col("index_high").cast("long")
+    banded = pm25.select("seq", index.band_of(F.col("value"), fixed.PM25_BANDS).alias("b"))
+    return banded.select(
+        "seq", "b.band_low", "b.band_high", F.col("b.index_low").cast("long").alias("index_low"),
+        F.col("b.index_high").cast("long").alias("index_high"),
     )
 
 

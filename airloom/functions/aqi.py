@@ -30,6 +30,16 @@ def banded_index(concentration: Column, bands, above: int) -> Column:
     return case.cast("int")
 
 
+def band_of(concentration: Column, bands) -> Column:
+    """The closed band that holds the value, as a struct; NULL in gaps and outside."""
+    names = ("band_low", "band_high", "index_low", "index_high")
+    case = F.when(F.lit(False), F.struct(*[F.lit(0.0).alias(n) for n in names]))
+    for low, high, *index in bands:
+        ends = [F.lit(float(low)), F.lit(float(high)), *[F.lit(float(i)) for i in index]]
+        case = case.when(concentration.between(low, high), F.struct(*[c.alias(n) for n, c in zip(names, ends)]))
+    return case
+
+
 def aqi_pm25(ug_m3: Column, truncate: bool = False) -> Column:
     """``truncate`` first cuts the concentration to 0.1, which closes the gaps."""
     if truncate:

@@ -42,10 +42,19 @@ def overview(df: DataFrame) -> DataFrame:
 
 def parameter_stats(df: DataFrame) -> DataFrame:
     """Count, mean, median, extremes and sample deviation; units as first seen."""
-    stats = df.groupBy("parameter").agg(
-        F.min_by("units", F.when(F.col("units").isNotNull(), F.col("seq"))).alias("units"),
-        _n().alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.stddev_samp("value").alias("std"),
+    # per unit first: a text inside the aggregate would make Spark sort all rows
+    by_unit = df.groupBy("parameter", "units").agg(
+        _n().alias("_n"), F.count("value").alias("_values"), F.avg("value").alias("_mean"),
+        F.var_pop("value").alias("_var"), F.min("value").alias("_min"), F.max("value").alias("_max"),
+        F.min("seq").alias("_first"),
+    )
+    whole = Window.partitionBy("parameter")
+    weighted = F.sum(F.col("_mean") * F.col("_values")).over(whole) / F.nullif(F.sum("_values").over(whole), F.lit(0))
+    spread = F.expr("sum(_values * (_var + (_mean - mean) * (_mean - mean)))")
+    stats = by_unit.withColumn("mean", weighted).groupBy("parameter", "mean").agg(
+        F.min_by("units", F.when(F.col("units").isNotNull(), F.col("_first"))).alias("units"),
+        F.sum("_n").alias("n"), F.min("_min").alias("min"), F.max("_max").alias("max"),
+        F.when(F.sum("_values") > 1, F.sqrt(spread / (F.sum("_values") - 1))).alias("std"),
     )
     stats = stage(stats, "parameter_stats")
     largest = stats.agg(F.max("n")).first()[0] or 0
@@ -173,15 +182,13 @@ def hourly_aqi(records: DataFrame) -> DataFrame:
 def period_aqi(records: DataFrame, days: int = fixed.PERIOD_DAYS) -> DataFrame:
     """Mean AQI per location and 15-day period counted from the first date.
 
-    Daily sums come first; the first date is a single row of their dates.
+    Daily sums come first; the first date is a scalar subquery over their dates.
     """
     daily = records.groupBy("location_id", F.to_date("datetime_local").alias("date")).agg(
         F.sum("aqi_overall").alias("_sum"), F.count("aqi_overall").alias("_n")
     )
-    first = daily.agg(F.min("date").alias("_first_date"))
-    numbered = daily.crossJoin(F.broadcast(first)).withColumn(
-        "period_num", calendar.bucket_number(F.col("date"), F.col("_first_date"), days)
-    )
+    dated = daily.withColumn("_first_date", daily.agg(F.min("date")).scalar())
+    numbered = dated.withColumn("period_num", calendar.bucket_number(F.col("date"), F.col("_first_date"), days))
     return (
         numbered.groupBy("location_id", "period_num", "_first_date")
         .agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("aqi"))
@@ -193,9 +200,8 @@ def period_aqi(records: DataFrame, days: int = fixed.PERIOD_DAYS) -> DataFrame:
 def period_order(records: DataFrame, days: int = fixed.PERIOD_DAYS) -> DataFrame:
     """Periods that occur, their earliest date and their place in time order."""
     dates = records.groupBy(F.to_date("datetime_local").alias("date")).agg(_n().alias("_n"))
-    first = dates.agg(F.min("date").alias("_first_date"))
     periods = (
-        dates.crossJoin(F.broadcast(first))
+        dates.withColumn("_first_date", dates.agg(F.min("date")).scalar())
         .withColumn("period_num", calendar.bucket_number(F.col("date"), F.col("_first_date"), days))
         .groupBy("period_num", "_first_date").agg(F.min("date").alias("earliest"))
     )
@@ -219,10 +225,13 @@ def high_watermarks(df: DataFrame, keys: tuple[str, ...] = ("location_id",)) ->
 
 
 def first_and_last(df: DataFrame) -> DataFrame:
-    """Local time of the earliest and the latest record of each location, by UTC."""
+    """Local time of the earliest and the latest record of each location, by UTC.
+
+    Readings of one place and instant share their local time, so ties do not matter.
+    """
     return df.groupBy("location_id").agg(
-        F.min_by("datetime_local", F.struct("datetime_utc", "seq")).alias("first_local"),
-        F.max_by("datetime_local", F.struct("datetime_utc", "seq")).alias("last_local"),
+        F.min_by("datetime_local", "datetime_utc").alias("first_local"),
+        F.max_by("datetime_local", "datetime_utc").alias("last_local"),
     )
 
 

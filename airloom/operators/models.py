@@ -26,12 +26,9 @@ def feature_table(df: DataFrame, hours: int = 24) -> DataFrame:
 def training_rows(df: DataFrame) -> DataFrame:
     """Rows with a label; a missing weather reading becomes the mean of the training set."""
     rows = feature_table(df).where("pm25 IS NOT NULL")
-    means = rows.agg(*[F.avg(c).alias(f"_mean_{c}") for c in ("temperature", "relativehumidity")])
-    filled = rows.crossJoin(F.broadcast(means))  # one row by construction
-    return filled.select(
-        "location_id", "datetime_utc", "pm25", "hour", "day_of_week",
-        *[F.coalesce(c, f"_mean_{c}", F.lit(0.0)).alias(c) for c in ("temperature", "relativehumidity")],
-    )
+    weather = ("temperature", "relativehumidity")
+    filled = {c: F.coalesce(F.col(c), rows.agg(F.avg(c)).scalar(), F.lit(0.0)) for c in weather}
+    return rows.withColumns(filled).select("location_id", "datetime_utc", "pm25", "hour", "day_of_week", *weather)
 
 
 def random_forest(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42):

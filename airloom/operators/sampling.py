@@ -32,8 +32,9 @@ def random_sample(df: DataFrame, size: int, id_column: str = "seq", seed: int =
             (F.lit(size) - F.min_by(F.col("_end") - F.col("_n"), "_bucket")).alias("_rest"),
         )
     )
-    # one row by construction, so the cross join is a column
-    rows = rows.crossJoin(F.broadcast(border))
+    rows = rows.withColumn("_at", border.select(F.struct("_border", "_rest")).scalar()).select(
+        *df.columns, "_order", "_bucket", "_at._border", "_at._rest"
+    )
     whole = rows.where(F.col("_border").isNull() | (F.col("_bucket") < F.col("_border")))
     ranked = Window.partitionBy("_bucket").orderBy("_order", id_column)
     part = (

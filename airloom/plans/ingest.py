@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from airloom import schema
 from airloom.operators.aggregates import high_watermarks
 from airloom.operators.dedup import keep_first, not_in
-from airloom.operators.joins import null_safe_join
+from airloom.operators.joins import null_safe_join, staged_join
 from airloom.session import stage
 from airloom.sources.store import PARTITIONS, MeasurementStore, with_month
 
@@ -27,7 +27,7 @@ def since_bookmark(records: DataFrame, state: DataFrame, lateness: str = "0 seco
     """
     keys = keys or STATE_KEY
     marks = state.groupBy(*keys).agg(F.max("last_fetch_time").alias("_mark"))
-    joined = null_safe_join(records, marks, keys, "left")
+    joined = staged_join(records, marks, keys, "left")
     reached = F.col("_mark").isNull() | (F.col(ts) >= F.col("_mark") - F.expr(f"INTERVAL {lateness}"))
     return joined.where(reached).drop("_mark")
 

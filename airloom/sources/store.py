@@ -63,6 +63,12 @@ class MeasurementStore:
         """One location; other partitions are not listed for reading."""
         return self.read().where(F.col("location_id") == location_id)
 
+    def since(self, moment: str, location_id: int | None = None) -> DataFrame:
+        """Readings from ``moment`` on; earlier months are pruned, the rest is pushed down."""
+        rows = self.read() if location_id is None else self.location(location_id)
+        recent = F.col("event_month").isNull() | (F.col("event_month") >= moment[:7])
+        return rows.where(recent & (F.col("datetime_utc") >= F.lit(moment).cast("timestamp_ntz")))
+
     def append(self, new: DataFrame) -> None:
         _arranged(new).write.mode("append").partitionBy(*PARTITIONS).parquet(self.data)
 

@@ -163,6 +163,18 @@ def test_overwrite_touches_only_its_partitions(spark, folder):
     assert "PartitionFilters: [isnotnull(location_id" in plan
 
 
+def test_time_filter_prunes_months_and_reaches_the_files(spark, folder):
+    rows = flat_rows(spark, [1, 2, 3])
+    old = rows.withColumn("datetime_utc", F.expr("datetime_utc - INTERVAL 1 YEAR"))
+    kept = store.MeasurementStore(spark, folder, rows.schema)
+    kept.append(rows.unionByName(old))
+    recent = kept.since("2025-12-05 02:00:00", 1).select("value")
+    assert recent.count() == 2
+    scan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(datetime_utc" in scan and "event_month" in scan.split("PartitionFilters: [")[1].split("]")[0]
+    assert scan.split("ReadSchema: ")[1].startswith("struct<value:double,datetime_utc:timestamp_ntz>")
+
+
 def test_versions_keep_the_previous_one(spark, folder):
     first = flat_rows(spark, [1, 2])
     assert store.latest_version(spark, folder) is None
