@@ -91,7 +91,9 @@ class MeasurementStore:
         new = changed.select(
             *[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(v).alias(f"_new_{v}") for v in values]
         )
-        old = self.read_state()
+        path = f"{self.root}/state"
+        version = latest_version(self.spark, path)
+        old = read_version(self.spark, path, schema.STATE, version)
         same = F.col("location_id").eqNullSafe(F.col("_k_location_id")) & F.col("parameter").eqNullSafe(
             F.col("_k_parameter")
         )
@@ -101,7 +103,7 @@ class MeasurementStore:
             F.greatest("_new_last_fetch_time", "last_fetch_time").alias("last_fetch_time"),
             *[F.when(touched, F.col(f"_new_{v}")).otherwise(F.col(v)).alias(v) for v in values[1:]],
         )
-        write_version(merged, f"{self.root}/state")
+        write_version(merged, path, version)
 
     def reset_state(self) -> None:
         """Forget all bookmarks: the next ingest is a full load (and still deduplicates)."""
@@ -119,18 +121,18 @@ class MeasurementStore:
 _VERSION = T.StructType([T.StructField("version", T.LongType())])
 
 
-def write_version(df: DataFrame, path: str) -> int:
+def write_version(df: DataFrame, path: str, latest: int | None = None) -> int:
     """Write a full new version beside the old ones, then record it.
 
     A reader sees the old version until the new one is complete; the previous
-    version stays as the backup.
+    version stays as the backup. ``latest`` saves the lookup if it is known.
     """
     spark = df.sparkSession
-    version = (latest_version(spark, path) or 0) + 1
+    version = (latest or latest_version(spark, path) or 0) + 1
     df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    spark.range(version, version + 1).select(F.col("id").alias("version")).coalesce(1).write.mode(
-        "append"
-    ).parquet(f"{path}/versions")
+    spark.range(version, version + 1, numPartitions=1).select(F.col("id").alias("version")).write.mode("append").parquet(
+        f"{path}/versions"
+    )
     return version
 
 
@@ -138,12 +140,17 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
     return read_or_empty(spark, f"{path}/versions", _VERSION).agg(F.max("version")).first()[0]
 
 
+def read_version(spark: SparkSession, path: str, row_type: T.StructType, version: int | None) -> DataFrame:
+    """One version of the table; none (or none that old) is an empty table."""
+    if version is None or version < 1:
+        return spark.createDataFrame([], row_type)
+    return spark.read.schema(row_type).parquet(f"{path}/version={version}")
+
+
 def current_version(spark: SparkSession, path: str, row_type: T.StructType, back: int = 0) -> DataFrame:
     """Latest version, or the one ``back`` steps before it."""
     version = latest_version(spark, path)
-    if version is None or version - back < 1:
-        return spark.createDataFrame([], row_type)
-    return spark.read.schema(row_type).parquet(f"{path}/version={version - back}")
+    return read_version(spark, path, row_type, None if version is None else version - back)
 
 
 def export_json(df: DataFrame, path: str) -> None:
