@@ -18,9 +18,9 @@ LOG_STEPS = 32
 # Larger than -ln(smallest positive double) * LOG_STEPS.
 LOG_SHIFT = 746 * LOG_STEPS
 # Groups up to this many rows fit in the buffer of the built-in percentile.
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 100_000
 # A wanted bucket with more rows than this is cut into linear cells.
-ROWS_PER_BUCKET = 4_000_000
+ROWS_PER_BUCKET = 200_000
 CELLS = 4096
 # Distinct values one task should order in running totals.
 VALUES_PER_CELL = 50_000

@@ -20,7 +20,7 @@ def random_sample(df: DataFrame, size: int, id_column: str = "seq", seed: int =
     up to the border one, and only that one is ranked.
     """
     rows = df.withColumn("_order", random_order(id_column, seed)).withColumn(
-        "_bucket", F.conv(F.substring("_order", 1, 4), 16, 10).cast("int")
+        "_bucket", F.substring("_order", 1, 4)
     )
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     border = (

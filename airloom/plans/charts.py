@@ -130,8 +130,17 @@ def aqi_period_trend(records: DataFrame, names: DataFrame, ticks: int = fixed.AX
 
 
 def parameter_heatmap(df: DataFrame, names: DataFrame, parameters: list[str]) -> DataFrame:
-    """Mean matrix by location name; names shared by two locations fall together."""
-    return aggregates.location_parameter_means(with_location_name(df, names), parameters, "location_name")
+    """Mean matrix by location name; names shared by two locations fall together.
+
+    Names meet the sums of each location, not its readings.
+    """
+    sums = with_location_name(aggregates.location_parameter_rollup(df), names)
+
+    def total(parameter: str, column: str):
+        return F.sum(F.when(F.col("parameter") == parameter, F.col(column)))
+
+    cells = [F.try_divide(total(p, "total"), total(p, "n_values")).alias(p) for p in parameters]
+    return sums.groupBy("location_name").agg(*cells)
 
 
 def pm25_line(df: DataFrame, location_id: int, as_of: str, days: int = 7) -> DataFrame:
