@@ -8,7 +8,8 @@ by the Jensen-Shannon distance (square root of the divergence to base 2, so 0
 to 1): classes of characters (small letters, capitals, digits, white space,
 punctuation, symbols) and common words (one bin for each word of a short list,
 one for all other words). A language's reference is the sum of the histograms
-of all its texts that pass the base rules. Guards: a text is compared only from
+of its texts that pass the base rules, taken twice: the second time without texts
+that are too far from the first sum. Guards: a text is compared only from
 ``MIN_CLASS_CHARS`` characters or ``MIN_COMMON_WORDS`` words on; a language
 without a list is compared by classes only; a language without reference by neither.
 
@@ -31,9 +32,9 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
 MIN_CLASS_CHARS = 200
-MIN_COMMON_WORDS = 40
-MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.5
+MIN_COMMON_WORDS = 120
+MAX_CLASS_DISTANCE = 0.27
+MAX_WORD_DISTANCE = 0.26
 
 # Frequent function words of four languages.
 COMMON = {
@@ -108,7 +109,12 @@ def summed(c: str, n: int) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """For every language the sums over its texts that pass the base rules."""
+    """For every language the sums over its texts that pass the base rules, taken again without the texts far from the first sums."""
+    first = stage(summed_by_lang(counted), "first_references")
+    return summed_by_lang(judge(counted, first).filter("kept"))
+
+
+def summed_by_lang(counted: DataFrame) -> DataFrame:
     bins = 1 + max(len(w.split()) for w in COMMON.values())
     good = counted.filter("NOT base_failed").withColumn("lang", F.coalesce("lang", F.lit("")))
     return good.groupBy("lang").agg(summed("classes", len(CLASSES)).alias("ref_classes"), summed("common", bins).alias("ref_common"))
