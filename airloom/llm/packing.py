@@ -18,7 +18,9 @@ as rows of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,14 +34,15 @@ from airloom.llm.common import bytes_of, documents, prepare_workers, stage
 CAPACITY = 2048
 SMALL = 64
 END = 1
-CACHE = 300_000
+CACHE = 1_000_000
 
 
 class TokenCache(dict):
     """Ids (little-endian, 4 bytes each) of chunks without ASCII white space, for the chunks seen lately.
 
     The tokenizer splits at white space and lower-cases, so a text's ids are those
-    of its lower-cased chunks in a row.
+    of its lower-cased chunks in a row. A point or comma after a letter is a token
+    of its own. Chunks that are new in a batch go to the tokenizer together.
     """
 
     def __init__(self, path: str):
@@ -48,25 +51,31 @@ class TokenCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= CACHE:
+    def learn(self, texts: list[list[bytes]]) -> None:
+        chunks = set().union(*texts)
+        new = chunks.difference(self)
+        if len(self) + len(new) > CACHE:
             self.clear()
-        if len(chunk) > 1 and chunk[-1:] in (b",", b".") and chunk[-2:-1].isalpha() and b"'" not in chunk:
-            ids = self[chunk[:-1]] + self[chunk[-1:]]  # a mark after a letter is a token of its own
-        else:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        self[chunk] = ids
-        return ids
+            new = chunks
+        marked = [c for c in new if len(c) > 1 and c[-1:] in (b",", b".") and c[-2:-1].isalpha() and b"'" not in c]
+        whole = list((new.difference(marked) | {c[:-1] for c in marked} | ({b",", b"."} if marked else set())).difference(self))
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False)
+        self.update(zip(whole, (array("I", e.ids).tobytes() for e in found)))
+        self.update((c, self[c[:-1]] + self[c[-1:]]) for c in marked)
 
 
 _CACHES: dict[str, TokenCache] = {}
 
 
-def token_bytes(text: bytes, path: str) -> bytes:
-    """The ids of a text and its end, 4 bytes each."""
+def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
+    """The ids of texts, each with its end, 4 bytes an id."""
     if path not in _CACHES:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for every core
         _CACHES[path] = TokenCache(path)
-    return b"".join(map(_CACHES[path].__getitem__, text.lower().split())) + END.to_bytes(4, "little")
+    cache, chunks = _CACHES[path], [t.lower().split() for t in texts]
+    cache.learn(chunks)
+    end = END.to_bytes(4, "little")
+    return [b"".join(map(cache.__getitem__, c)) + end for c in chunks]
 
 
 def cut(n: int, capacity: int = CAPACITY, small: int = SMALL) -> list[int]:
@@ -87,8 +96,7 @@ def cutter(path: str, capacity: int, small: int, with_ids: bool, schema: pa.Sche
         worker = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = token_bytes(text, path)
+            for doc, ids in zip(batch["doc_id"].to_pylist(), token_bytes(batch["text"].to_pylist(), path)):
                 n, start = len(ids) // 4, 0
                 for length in cut(n, capacity, small):
                     own = ids[4 * start:4 * (start + length)]
