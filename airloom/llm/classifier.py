@@ -40,7 +40,7 @@ BUCKETS = WORD_BUCKETS + SHAPES * SHAPES
 SMOOTHING = 0.5
 EFFECTIVE = 128
 SEED = 42
-CACHE = 300_000
+CACHE = 60_000
 STEPS = 2**20
 
 

@@ -34,7 +34,7 @@ from airloom.llm.common import bytes_of, documents, prepare_workers, stage
 CAPACITY = 2048
 SMALL = 64
 END = 1
-CACHE = 1_000_000
+GENERATION = 150_000
 
 
 class TokenCache(dict):
@@ -42,7 +42,8 @@ class TokenCache(dict):
 
     The tokenizer splits at white space and lower-cases, so a text's ids are those
     of its lower-cased chunks in a row. A point or comma after a letter is a token
-    of its own. Chunks that are new in a batch go to the tokenizer together.
+    of its own. Chunks that are new in a batch go to the tokenizer together. Of the
+    chunks seen, two generations are kept; one in use passes to the younger.
     """
 
     def __init__(self, path: str):
@@ -50,13 +51,17 @@ class TokenCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
         chunks = set().union(*texts)
         new = chunks.difference(self)
-        if len(self) + len(new) > CACHE:
+        if len(self) + len(new) > GENERATION:
+            self.older = dict(self)
             self.clear()
             new = chunks
+        self.update((c, self.older[c]) for c in new.intersection(self.older))
+        new = new.difference(self)
         marked = [c for c in new if len(c) > 1 and c[-1:] in (b",", b".") and c[-2:-1].isalpha() and b"'" not in c]
         whole = list((new.difference(marked) | {c[:-1] for c in marked} | ({b",", b"."} if marked else set())).difference(self))
         found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False)
