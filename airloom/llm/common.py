@@ -29,9 +29,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prepare_workers(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds, and let workers find this package where it lies."""
+    """Bound what readers, Arrow batches and writers hold of whole texts, and let workers find this package where it lies."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("parquet.block.size", str(32 * 2**20))
     # Workers are reused by later stages: let them give back what a stage has freed.
     spark.sparkContext.environment.update({"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1000000"})
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
