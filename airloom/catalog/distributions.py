@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from airloom import fixed_values as fixed
 from airloom.catalog import base
 from airloom.catalog.base import LM, M, OM, query
 from airloom.catalog.statistics import calendar_sql
@@ -47,7 +48,7 @@ def box_plots_daily(spark, sf_dir):
 
 @query("box_plots_monthly", "AGG-20 JN-9 CH-6 WIN-2", f"WITH {OM}, {calendar_sql('om', 30)}, {BOX} {BOX_SELECT}")
 def box_plots_monthly(spark, sf_dir):
-    return distribution.box_summary(base.order_readings(spark, sf_dir))
+    return distribution.box_summary(base.order_readings(spark, sf_dir), keep=fixed.BOX_PERIODS)
 
 
 @query("box_outliers", "AGG-20 JN-9", f"""
@@ -93,5 +94,5 @@ WITH {M} SELECT location_id, parameter, round(quantile_cont(value, 0.25) + 1e-9,
   round(quantile_cont(value, 0.75) + 1e-9, 6) AS q3 FROM m GROUP BY 1, 2""")
 def place_parameter_quartiles(spark, sf_dir):
     return exact_quantiles(
-        base.measurements(spark, sf_dir), ["location_id", "parameter"], "value", distribution.QUARTILES, rows_per_bucket=0
+        base.measurements(spark, sf_dir), ["location_id", "parameter"], "value", distribution.QUARTILES
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airloom import fixed_values as fixed
 from airloom import schema
 from airloom.catalog import base
 from airloom.catalog.alerts import R, run_log
@@ -216,7 +217,7 @@ def run_history(spark, sf_dir):
     log = run_log(spark, sf_dir)
     kept = store.MeasurementStore(spark, scratch_path(spark, "run_log"), log.schema)
     kept.append_run(log.select(*schema.RUN.fieldNames()))
-    return kept.read_runs().select("run_id", "start_time", F.col("metrics")["total_records_fetched"].alias("fetched"))
+    return kept.read_runs(fixed.RUNS_KEPT).select("run_id", "start_time", F.col("metrics")["total_records_fetched"].alias("fetched"))
 
 
 @query("exported_json", "SNK-7", f"WITH {M} SELECT {FLAT_SQL} FROM m")

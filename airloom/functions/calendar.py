@@ -12,10 +12,14 @@ ISO_PATTERN = (
     r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 )
 
+WITH_OFFSET = r"[T ]\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)$"
+
 
 def parse_utc(text: Column) -> Column:
-    """ISO text to the UTC wall clock; NULL when it does not parse."""
-    return text.try_cast("timestamp").cast("timestamp_ntz")
+    """ISO text to the UTC wall clock, in any session zone; NULL when it does not parse. Without offset it is UTC."""
+    moment = text.try_cast("timestamp").cast("timestamp_ntz")
+    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment)
+    return F.when(text.rlike(WITH_OFFSET), in_utc).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def parse_local(text: Column) -> Column:

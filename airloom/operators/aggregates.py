@@ -15,7 +15,6 @@ from airloom.functions.text import sorted_names
 from airloom.operators.joins import null_safe_join
 from airloom.operators.pivot import pivot_mean
 from airloom.operators.quantiles import exact_median
-from airloom.session import stage
 
 def _n() -> Column:
     return F.count(F.lit(1))
@@ -56,17 +55,7 @@ def parameter_stats(df: DataFrame) -> DataFrame:
         F.sum("_n").alias("n"), F.min("_min").alias("min"), F.max("_max").alias("max"),
         F.when(F.sum("_values") > 1, F.sqrt(spread / (F.sum("_values") - 1))).alias("std"),
     )
-    stats = stage(stats, "parameter_stats")
-    largest = stats.agg(F.max("n")).first()[0] or 0
-    return null_safe_join(stats, exact_median(df, ["parameter"], "value", largest_group=largest), ["parameter"], "left")
-
-
-def parameter_stats_approximate(df: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """One-pass variant with an approximate median."""
-    return df.groupBy("parameter").agg(
-        _n().alias("n"), F.avg("value").alias("mean"),
-        F.approx_percentile("value", 0.5, accuracy).alias("median"), F.stddev_samp("value").alias("std"),
-    )
+    return null_safe_join(stats, exact_median(df, ["parameter"], "value"), ["parameter"], "left")
 
 
 def location_profile(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from airloom import fixed_values as fixed
 from airloom.operators.joins import null_safe_join
-from airloom.operators.periods import sized_periods, with_periods
+from airloom.operators.periods import with_periods
 from airloom.operators.quantiles import exact_quantiles
 from airloom.session import stage
 
@@ -47,18 +47,18 @@ def histogram(df: DataFrame, keys: list[str], value: str = "value", bins: int =
     )
 
 
-def box_quartiles(df: DataFrame, keep: int | None = fixed.BOX_PERIODS) -> tuple[DataFrame, DataFrame]:
+def box_quartiles(df: DataFrame, keep: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows joined to their period's quartiles and fences, and the fences."""
-    rows, largest = sized_periods(df.where("value IS NOT NULL"), keep)
-    quartiles = exact_quantiles(rows, PERIOD, "value", QUARTILES, largest)
+    rows = with_periods(df.where("value IS NOT NULL"), keep)
+    quartiles = exact_quantiles(rows, PERIOD, "value", QUARTILES)
     reach = (F.col("q3") - F.col("q1")) * fixed.WHISKER_REACH
     fences = quartiles.withColumn("fence_low", F.col("q1") - reach).withColumn("fence_high", F.col("q3") + reach)
     fences = stage(fences, "box_fences")
     return null_safe_join(rows, fences, PERIOD), fences
 
 
-def box_summary(df: DataFrame, keep: int | None = fixed.BOX_PERIODS) -> DataFrame:
-    """Quartiles, whiskers (reach 1.5 IQR, ending on data) and outlier count."""
+def box_summary(df: DataFrame, keep: int | None = None) -> DataFrame:
+    """Quartiles, whiskers (reach 1.5 IQR, ending on data) and outlier count of every period, or of those a drawing keeps."""
     rows, _ = box_quartiles(df, keep)
     v = F.col("value")
     inside = v.between(F.col("fence_low"), F.col("fence_high"))
@@ -75,19 +75,18 @@ def box_summary(df: DataFrame, keep: int | None = fixed.BOX_PERIODS) -> DataFram
     )
 
 
-def box_outliers(df: DataFrame, keep: int | None = fixed.BOX_PERIODS) -> DataFrame:
+def box_outliers(df: DataFrame, keep: int | None = None) -> DataFrame:
     """The readings drawn outside the whiskers."""
     rows, _ = box_quartiles(df, keep)
     outside = ~F.col("value").between(F.col("fence_low"), F.col("fence_high"))
     return rows.where(outside).select("seq", "location_id", *PERIOD, "value")
 
 
-def violin_quartiles(df: DataFrame, keep: int | None = fixed.VIOLIN_PERIODS) -> DataFrame:
-    rows, largest = sized_periods(df, keep)
-    return exact_quantiles(rows, PERIOD, "value", QUARTILES, largest)
+def violin_quartiles(df: DataFrame, keep: int | None = None) -> DataFrame:
+    return exact_quantiles(with_periods(df, keep), PERIOD, "value", QUARTILES)
 
 
-def violin_density(df: DataFrame, keep: int | None = fixed.VIOLIN_PERIODS, points: int = fixed.DENSITY_POINTS) -> DataFrame:
+def violin_density(df: DataFrame, keep: int | None = None, points: int = fixed.DENSITY_POINTS) -> DataFrame:
     """Gaussian density on an even grid, Scott bandwidth, two bandwidths of margin.
 
     Equal values are counted before they meet the grid. Groups without spread

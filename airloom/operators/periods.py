@@ -27,11 +27,10 @@ def period_calendar(df: DataFrame, keep: int | None = None) -> DataFrame:
     """
     days = df.groupBy("parameter", F.to_date("datetime_local").alias("date")).agg(
         F.min("datetime_local").alias("_first"), F.max("datetime_local").alias("_last"),
-        F.count(F.lit(1)).alias("_rows"),
     )
     whole = Window.partitionBy("parameter")
     span = calendar.elapsed_days(F.min("_first").over(whole), F.max("_last").over(whole))
-    units = days.select("parameter", "date", "_rows", calendar.granularity(span).alias("unit"))
+    units = days.select("parameter", "date", calendar.granularity(span).alias("unit"))
     labelled = units.select("*", calendar.period_label(F.col("date"), F.col("unit")).alias("time_period"))
     if keep is None:
         return labelled
@@ -43,13 +42,5 @@ def period_calendar(df: DataFrame, keep: int | None = None) -> DataFrame:
 
 def with_periods(df: DataFrame, keep: int | None = None) -> DataFrame:
     """Rows with their period; rows of periods that were not kept drop out."""
-    return sized_periods(df, keep)[0]
-
-
-def sized_periods(df: DataFrame, keep: int | None = None) -> tuple[DataFrame, int]:
-    """Rows with their period, and the row count of the largest period."""
     days = stage(period_calendar(df, keep), "period_calendar")
-    counts = days.groupBy("parameter", "time_period").agg(F.sum("_rows").alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    rows = df.withColumn("date", F.to_date("datetime_local"))
-    return null_safe_join(rows, days.drop("_rows"), ["parameter", "date"]), largest
+    return null_safe_join(df.withColumn("date", F.to_date("datetime_local")), days, ["parameter", "date"])

@@ -94,8 +94,8 @@ def range_warnings() -> list[Column]:
 def validate(records: DataFrame, rules: DataFrame, as_of: str, record: str = "record") -> DataFrame:
     """Adds ``errors``, ``warnings`` and ``valid`` to VARIANT records.
 
-    Range violations are warnings: the record stays valid. The rule table is
-    small by nature (one row per parameter) and built on the driver.
+    Range violations are warnings: the record stays valid. The planner
+    broadcasts the rule table if its size allows.
     """
     moment = F.col("_start").try_cast("timestamp")
     at = F.lit(as_of).cast("timestamp")
@@ -104,7 +104,7 @@ def validate(records: DataFrame, rules: DataFrame, as_of: str, record: str = "re
     timed = opened(records, record).withColumns({
         "_readable": F.coalesce(calendar.is_iso(F.col("_start")), F.lit(False)), "_age_days": age,
     })
-    joined = timed.join(F.broadcast(rules), F.col("_name") == F.col("rule_parameter"), "left")
+    joined = timed.join(rules, F.col("_name") == F.col("rule_parameter"), "left")
     verdict = F.struct(
         nested.kept(*schema_errors(), *time_errors()).alias("errors"), nested.kept(*range_warnings()).alias("warnings")
     )

@@ -17,12 +17,7 @@ from airloom.session import stage
 LOG_STEPS = 32
 # Larger than -ln(smallest positive double) * LOG_STEPS.
 LOG_SHIFT = 746 * LOG_STEPS
-# Groups up to this many rows fit in the buffer of the built-in percentile.
-SMALL_GROUP = 100_000
-# A wanted bucket with more rows than this is cut into linear cells.
-ROWS_PER_BUCKET = 200_000
-CELLS = 4096
-# Distinct values one task should order in running totals.
+# Values one task should order; sizes tasks, changes no result.
 VALUES_PER_CELL = 50_000
 LARGEST = 1.7976931348623157e308
 
@@ -43,21 +38,8 @@ def _numbers(df: DataFrame, keys: list[str], value: str, *extra: Column) -> Data
     return rows.withColumn("_b", value_bucket("_v"))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float],
-    largest_group: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET,
-) -> DataFrame:
-    """One row per key with a linearly interpolated quantile per name.
-
-    A caller that has counted its groups passes ``largest_group``; if even
-    that one is small, the built-in function does it in one pass.
-    """
-    if largest_group is not None and largest_group <= SMALL_GROUP:
-        number = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
-        quantiles = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probabilities.values()]))
-        return number.groupBy(*keys).agg(quantiles.alias("_q")).select(
-            *keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probabilities)]
-        )
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+    """One row per key with a linearly interpolated quantile per name."""
     rows = _numbers(df, keys, value)
     positions = {name: f"(double('{p}') * (_total - 1))" for name, p in probabilities.items()}
     ranks = list(dict.fromkeys(f"{end}({at})" for at in positions.values() for end in ("floor", "ceil")))
@@ -76,13 +58,9 @@ def exact_quantiles(
     targets = stage(
         targets.selectExpr(*keys, "_b", "_lo", "_hi", "_total", "_end - _n AS _start", "_n AS _rows"), "quantile_buckets"
     )
-    most = targets.agg(F.max("_rows")).first()[0] or 0
 
-    # 2. rows of those buckets only, counted by value, with the running rank of each value
-    group = [*keys, "_b"]
-    chosen = null_safe_join(rows, targets, group)
-    if most > rows_per_bucket:
-        chosen, group = _narrow(chosen, keys, holds)
+    # 2. cells of those buckets that hold a wanted rank, counted by value, with the running rank of each value
+    chosen, group = _narrow(null_safe_join(rows, targets, [*keys, "_b"]), keys, holds)
     values = chosen.groupBy(*group, "_v").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_start").alias("_start"), F.min("_total").alias("_total")
     )
@@ -101,9 +79,9 @@ def exact_quantiles(
 
 
 def _narrow(chosen: DataFrame, keys: list[str], holds) -> tuple[DataFrame, list[str]]:
-    """Cut large wanted buckets into cells and keep the cells that hold a wanted rank."""
+    """Cut wanted buckets into cells by their own row count and keep the cells that hold a wanted rank."""
     bucket, group = [*keys, "_b"], [*keys, "_b", "_cell"]
-    placed = chosen.withColumn("_cell", _cell(CELLS))
+    placed = chosen.withColumn("_cell", _cell(f"ceil(_rows / {VALUES_PER_CELL})"))
     counted = placed.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_cn"), F.min("_start").alias("_bucket_start"), F.min("_total").alias("_total")
     )
@@ -114,10 +92,8 @@ def _narrow(chosen: DataFrame, keys: list[str], holds) -> tuple[DataFrame, list[
     return kept.drop("_start").withColumnRenamed("_cstart", "_start"), group
 
 
-def exact_median(
-    df: DataFrame, keys: list[str], value: str, name: str = "median", largest_group: int | None = None
-) -> DataFrame:
-    return exact_quantiles(df, keys, value, {name: 0.5}, largest_group)
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    return exact_quantiles(df, keys, value, {name: 0.5})
 
 
 def running_totals(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column]) -> DataFrame:

@@ -86,14 +86,15 @@ def category_pies(records: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1]).withColumn("color", color)
 
 
-def aqi_heatmap(records: DataFrame, names: DataFrame, keep: int = fixed.HEATMAP_DATES) -> DataFrame:
-    """Mean AQI per location and local date, every n-th date once there are many."""
+def aqi_heatmap(records: DataFrame, names: DataFrame, keep: int | None = None) -> DataFrame:
+    """Mean AQI per location and local date; ``keep`` thins the dates for a drawing."""
     cells = aggregates.daily_aqi(records).where("aqi IS NOT NULL")
-    dates = cells.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
+    if keep is None:
+        return with_location_name(cells, names)
     # one row per day of the whole range
     ordered = Window.orderBy("date")
     dates = (
-        dates.withColumn("_rank", F.row_number().over(ordered) - 1)
+        cells.select("date").distinct().withColumn("_rank", F.row_number().over(ordered) - 1)
         .withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy()))
         .where(every_nth(F.col("_rank"), F.col("_total"), keep))
         .select("date")
@@ -101,11 +102,6 @@ def aqi_heatmap(records: DataFrame, names: DataFrame, keep: int = fixed.HEATMAP_
     return with_location_name(cells.join(dates, "date", "left_semi"), names)
 
 
-def aqi_heatmap_wide(cells: DataFrame, dates: list[str]) -> DataFrame:
-    """Matrix form for the sampled dates, named by the caller."""
-    return cells.groupBy("location_name").pivot("date", dates).agg(F.avg("aqi"))
-
-
 def aqi_daily_trend(records: DataFrame, names: DataFrame) -> DataFrame:
     trend = aggregates.daily_aqi(records)
     return (

@@ -12,6 +12,7 @@ from airloom.operators.aggregates import high_watermarks
 from airloom.operators.dedup import keep_first, not_in
 from airloom.operators.joins import null_safe_join, staged_join
 from airloom.session import stage
+from airloom.sources import landed
 from airloom.sources.store import PARTITIONS, MeasurementStore, with_month
 
 STATE_KEY = ["location_id", "parameter"]
@@ -118,11 +119,16 @@ def ingest(
 
     The batch is read from its source once. New rows go straight to the store,
     marked with the run, and are counted there. Safe to run again with the
-    same batch: the second run finds only duplicates.
+    same batch: the second run finds only duplicates. Rows with a
+    ``reject_reason`` go to the store's quarantine and into the statistics.
     """
     keys = keys or schema.INGEST_KEY
     run = uuid.uuid4().hex
-    fetched = stage(fetched, "fetched")
+    fetched, failed = stage(fetched, "fetched"), []
+    if "reject_reason" in fetched.columns:
+        bad, fetched = landed.rejected(fetched), landed.accepted(fetched)
+        store.quarantine(bad.withColumn("ingest_run", F.lit(run)))
+        failed = [_count(bad, "rejected")]
     touched = touched_partitions(fetched)
     new = not_in(keep_first(fetched, keys, order), store.read().where(touched), keys)
     store.append(new.withColumn("ingest_run", F.lit(run)))
@@ -132,4 +138,4 @@ def ingest(
         return None
     by_location = added.groupBy("location_id").agg(F.sum("new").alias("new"))
     # location_id is a partition column, so the total reads file footers only
-    return stage(_stats([_count(fetched, "fetched"), by_location, _count(store.read(), "total")]), "ingest_stats")
+    return stage(_stats([_count(fetched, "fetched"), by_location, _count(store.read(), "total"), *failed]), "ingest_stats")

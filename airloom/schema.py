@@ -65,3 +65,11 @@ RUN = T.StructType([
 # key one reading of one parameter at a place and time.
 INGEST_KEY = ["location_id", "parameter_id", "sensor_id", "datetime_utc", "datetime_to_utc"]
 MERGE_KEY = ["location_id", "datetime_utc", "parameter_id"]
+
+QUARANTINE = T.StructType([
+    T.StructField("location_id", T.LongType()),
+    T.StructField("source_file", T.StringType()),
+    T.StructField("reject_reason", T.StringType()),
+    T.StructField("raw", T.StringType()),
+    T.StructField("ingest_run", T.StringType()),
+])

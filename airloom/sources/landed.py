@@ -141,6 +141,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("results").alias("record")).select(*flat(F.col("record")))
 
 
+def quarantined_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that ``read_pages`` cannot use, with the reason."""
+    return quarantined_documents(parse_documents(read_documents(spark, path, whole_files=False), "$.results"))
+
+
 def sensors_of(directories: DataFrame) -> DataFrame:
     """Sensors of the first location in each directory response.
 

@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airloom import fixed_values as fixed
 from airloom import schema
+from airloom.operators.dedup import not_in
+from airloom.operators.joins import null_safe_join
+from airloom.session import stage
 
 PARTITIONS = ["location_id", "event_month"]
+# Spark's folder name of a missing partition value.
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
 def with_month(df: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ class MeasurementStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.data = f"{self.root}/measurements"
-        fields = [f for f in row_type.fields if f.name not in (*PARTITIONS, "ingest_run")]
+        fields = [f for f in row_type.fields if f.name not in (*PARTITIONS, "ingest_run", "reject_reason", "raw")]
         self.row_type = T.StructType([
             *fields, T.StructField("ingest_run", T.StringType()),
             T.StructField("location_id", T.LongType()), T.StructField("event_month", T.StringType()),
@@ -73,12 +77,35 @@ class MeasurementStore:
         _arranged(new).write.mode("append").partitionBy(*PARTITIONS).parquet(self.data)
 
     def overwrite(self, df: DataFrame) -> None:
-        """Replace the partitions that ``df`` has rows for, no others."""
+        """Replace the locations that ``df`` has rows for, with all their months, and no others.
+
+        ``df`` may come from this store. New months are written first, then the
+        months a location no longer has are removed.
+        """
+        df = stage(df, "replacement")
+        kept = with_month(df).select(*PARTITIONS).distinct()
+        held = self.read().select(*PARTITIONS).distinct()
+        held = null_safe_join(held, kept.select("location_id").distinct(), ["location_id"], "left_semi")
+        gone = not_in(held, kept, PARTITIONS).collect()  # names of folders
         (
             _arranged(df).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*PARTITIONS).parquet(self.data)
         )
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path
+        files = folder(self.data).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        for row in gone:
+            names = [f"{c}={NULL_FOLDER if row[c] is None else row[c]}" for c in PARTITIONS]
+            files.delete(folder("/".join([self.data, *names])), True)
+
+    # records that could not be used
+    def quarantine(self, bad: DataFrame) -> None:
+        missing = {n: F.lit(None).cast("string") for n in schema.QUARANTINE.fieldNames() if n not in bad.columns}
+        bad.withColumns(missing).select(*schema.QUARANTINE.fieldNames()).write.mode("append").parquet(f"{self.root}/quarantine")
+
+    def read_quarantine(self) -> DataFrame:
+        """Rejected records of every run; a repeated run lists its own again."""
+        return read_or_empty(self.spark, f"{self.root}/quarantine", schema.QUARANTINE)
 
     # ingest state
     def read_state(self) -> DataFrame:
@@ -113,9 +140,10 @@ class MeasurementStore:
     def append_run(self, run: DataFrame) -> None:
         run.write.mode("append").parquet(f"{self.root}/runs")
 
-    def read_runs(self, keep: int = fixed.RUNS_KEPT) -> DataFrame:
+    def read_runs(self, keep: int | None = None) -> DataFrame:
+        """The whole run log, or the ``keep`` newest runs."""
         runs = read_or_empty(self.spark, f"{self.root}/runs", schema.RUN)
-        return runs.orderBy(F.desc("start_time"), F.desc("run_id")).limit(keep)
+        return runs if keep is None else runs.orderBy(F.desc("start_time"), F.desc("run_id")).limit(keep)
 
 
 _VERSION = T.StructType([T.StructField("version", T.LongType())])

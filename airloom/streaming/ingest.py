@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from airloom import schema
@@ -14,16 +15,30 @@ from airloom.sources.landed import flat
 from airloom.sources.store import MeasurementStore
 
 
+_LINE = T.StructType([*schema.RAW_RECORD.fields, T.StructField("_corrupt", T.StringType())])
+
+
 def stream_records(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Flat measurements of landed JSON lines as a stream."""
-    reader = spark.readStream.schema(schema.RAW_RECORD)
+    """Flat measurements of landed JSON lines as a stream.
+
+    A line that is no record, or one without parameter or start time, has a
+    ``reject_reason`` and its text in ``raw``.
+    """
+    reader = spark.readStream.schema(_LINE).option("columnNameOfCorruptRecord", "_corrupt")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     raw = reader.json(path)
-    record = F.struct(*raw.columns)
-    return raw.select(F.col("_metadata.file_path").alias("source_file"), record.alias("record")).select(
-        "source_file", *flat(F.col("record"))
+    record = F.struct(*schema.RAW_RECORD.fieldNames())
+    rows = raw.select(F.col("_metadata.file_path").alias("source_file"), record.alias("record"), "_corrupt").select(
+        "source_file", *flat(F.col("record")), F.coalesce("_corrupt", F.to_json("record")).alias("raw"),
+        F.col("_corrupt").isNotNull().alias("_broken"),
+    )
+    reason = (
+        F.when(F.col("_broken"), "line is not a record")
+        .when(F.col("parameter").isNull(), "no parameter name")
+        .when(F.col("datetime_utc").isNull(), "no start time")
     )
+    return rows.withColumn("reject_reason", reason).drop("_broken")
 
 
 def stream_ingest(

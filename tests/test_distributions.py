@@ -25,11 +25,12 @@ def frame_quantiles(pdf):
     return {k: [np.quantile(g, p) for p in PROBS.values()] for k, g in pdf.dropna().groupby("key")["v"]}
 
 
-@pytest.mark.parametrize("options", [{}, {"rows_per_bucket": 0}, {"largest_group": 10_000}])
-def test_exact_quantiles_on_skewed_groups(spark, options):
+@pytest.mark.parametrize("rows_per_cell", [5, 300, 50_000])
+def test_exact_quantiles_on_skewed_groups(spark, monkeypatch, rows_per_cell):
+    monkeypatch.setattr(quantiles, "VALUES_PER_CELL", rows_per_cell)
     pdf = skewed_frame()
     df = spark.createDataFrame(pdf, "key string, v double")
-    got = {r["key"]: [r[p] for p in PROBS] for r in quantiles.exact_quantiles(df, ["key"], "v", PROBS, **options).collect()}
+    got = {r["key"]: [r[p] for p in PROBS] for r in quantiles.exact_quantiles(df, ["key"], "v", PROBS).collect()}
     want = frame_quantiles(pdf)
     assert got.keys() == want.keys()
     for key in want:

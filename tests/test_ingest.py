@@ -214,3 +214,42 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, folder, files_per_bat
     flat = batch.select(*landed.flat(F.struct(*batch.columns)))
     want = sorted((r.parameter_id, r.datetime_utc) for r in flat.select(*key).distinct().collect())
     assert got == want and len(got) == 9
+
+
+def test_overwrite_replaces_all_months_of_its_locations(spark, folder):
+    rows = flat_rows(spark, [1, 2]).unionByName(flat_rows(spark, [1, 2], place=2))
+    old = rows.withColumn("datetime_utc", F.expr("datetime_utc - INTERVAL 2 YEARS"))
+    timeless = flat_rows(spark, [1]).withColumn("datetime_utc", F.expr("CAST(NULL AS TIMESTAMP_NTZ)"))
+    kept = store.MeasurementStore(spark, folder, rows.schema)
+    kept.append(rows.unionByName(old).unionByName(timeless))
+    kept.overwrite(flat_rows(spark, [9]))
+    months = {(r.location_id, r.event_month): r["count"] for r in kept.read().groupBy("location_id", "event_month").count().collect()}
+    assert months == {(1, "2025-12"): 1, (2, "2025-12"): 2, (2, "2023-12"): 2}
+    kept.overwrite(kept.location(2).where("event_month = '2023-12'"))  # read from the store that is written
+    assert {(r.location_id, r.event_month) for r in kept.read().collect()} == {(1, "2025-12"), (2, "2023-12")}
+
+
+def test_malformed_lines_of_a_stream_go_to_quarantine(spark, folder):
+    good = json.dumps(record())
+    write(folder, "page.json", "\n".join([good, good[:60], json.dumps(record(place=7, parameter={"id": 1})), json.dumps(record(hour=13))]))
+    records = stream_records(spark, folder)
+    kept = store.MeasurementStore(spark, f"{folder}_store", records.schema)
+    stream_ingest(records, kept, f"{folder}_checkpoint", ["source_file", "value"]).awaitTermination()
+    assert [r.location_id for r in kept.read().collect()] == [101, 101]
+    bad = {(r.reject_reason, r.location_id) for r in kept.read_quarantine().collect()}
+    assert bad == {("line is not a record", None), ("no parameter name", 7)}
+
+
+def test_a_location_with_only_bad_records_is_an_error(spark, folder):
+    good = flat_rows(spark, [1]).withColumns({"reject_reason": F.lit(None).cast("string"), "raw": F.lit("{}")})
+    bad = flat_rows(spark, [1], place=7).withColumns({"reject_reason": F.lit("no start time"), "raw": F.lit("{}")})
+    kept = store.MeasurementStore(spark, folder, good.schema)
+    stats = ingest.ingest(kept, good.unionByName(bad), "2025-12-06 00:00:00", ["seq"])
+    assert {(r.location_id, r.status, r.total_records) for r in stats.collect()} == {(1, "success", 1), (7, "error", 0)}
+    assert kept.read().count() == 1 and kept.read_quarantine().count() == 1
+
+
+def test_broken_pages_are_named(spark, folder):
+    write(folder, "pages.json", "\n".join([json.dumps({"results": [record()]}), '{"results": [', '{"results": 3}']))
+    assert landed.read_pages(spark, folder).count() == 1
+    assert {r.reject_reason for r in landed.quarantined_pages(spark, folder).collect()} == {landed.NOT_ARRAY, landed.NOT_JSON}
