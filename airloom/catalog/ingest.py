@@ -13,7 +13,7 @@ from airloom.catalog import base
 from airloom.catalog.base import LM, M, OM, query
 from airloom.operators import dedup, quality
 from airloom.plans import ingest as plan
-from airloom.plans import merge
+from airloom.plans import merge, runs
 
 RUN_TIME = "2024-01-31 00:00:00"
 PLACE_KEY = ["location_id", "parameter", "datetime_utc"]
@@ -80,10 +80,10 @@ def lines_outside_finished_orders(spark, sf_dir):
 
 
 @query("history_and_new", "SET-2", f"""
-WITH {HIST} SELECT location_id, parameter, count(*) AS n FROM (SELECT * FROM h UNION ALL SELECT * FROM nw) GROUP BY 1, 2""")
+WITH {HIST} SELECT seq, location_id, parameter, datetime_utc::VARCHAR AS datetime_utc, round(value + 1e-9, 6) AS value FROM (SELECT * FROM h UNION ALL SELECT * FROM nw)""")
 def history_and_new(spark, sf_dir):
     history, _, new = new_rows(spark, sf_dir)
-    return history.unionByName(new).groupBy("location_id", "parameter").agg(F.count(F.lit(1)).alias("n"))
+    return history.unionByName(new).select("seq", *PLACE_KEY, "value")
 
 
 @query("merged_collections", "SET-4 WIN-1", f"""
@@ -133,6 +133,23 @@ def locations_with_few_new_records(spark, sf_dir):
     return quality.too_few_records(stats(spark, sf_dir), 450)
 
 
+@query("silent_locations", "VAL-12 AGG-24", f"""
+WITH {STATS} SELECT r_regionkey::BIGINT AS location_id, 0 AS fetched_records, 0 AS new_records, 0 AS duplicates_removed, 0 AS total_records, 'success' AS status
+FROM region WHERE r_regionkey NOT IN (SELECT location_id FROM st) UNION ALL SELECT * FROM st WHERE new_records < 1""")
+def silent_locations(spark, sf_dir):
+    """Configured locations (those with a name) and sending ones without a new record."""
+    history, fetched, new = new_rows(spark, sf_dir)
+    return quality.too_few_records(plan.location_stats(fetched, new, history, configured=base.location_names(spark, sf_dir)))
+
+
+@query("run_row_of_an_ingest", "AGG-28 SNK-5", f"""
+WITH {STATS} SELECT 'r1' AS run_id, '2024-01-30 23:58:00' AS start_time, '{RUN_TIME}' AS end_time, sum(fetched_records)::DOUBLE AS total_records_fetched,
+  sum(duplicates_removed)::DOUBLE AS total_records_deduplicated, count(*)::DOUBLE AS total_locations_processed,
+  count(*)::DOUBLE AS successful_locations, 0::DOUBLE AS failed_locations, 120::DOUBLE AS duration_seconds, 0::BIGINT AS total_errors, 120::DOUBLE AS elapsed_seconds FROM st""")
+def run_row_of_an_ingest(spark, sf_dir):
+    return runs.run_metrics(runs.run_row(stats(spark, sf_dir), "r1", "2024-01-30 23:58:00", RUN_TIME))
+
+
 BOOKMARKS = f"""{M},
 b AS (SELECT sensor_id, max(datetime_to_utc) AS mark FROM m WHERE datetime_utc < TIMESTAMP '2024-01-02' GROUP BY 1)"""
 

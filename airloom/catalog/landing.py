@@ -9,7 +9,7 @@ from airloom import fixed_values as fixed
 from airloom import schema
 from airloom.catalog import base
 from airloom.catalog.alerts import R, run_log
-from airloom.catalog.base import M, query
+from airloom.catalog.base import M, OM, query
 from airloom.catalog.charts import summary_report as report_query
 from airloom.catalog.ingest import RUN_TIME
 from airloom.catalog.rows import nested_record
@@ -143,21 +143,37 @@ def one_location_scan(spark, sf_dir):
     return kept.location(7).select("seq", "parameter", "value")
 
 
+ROWS = ["seq", "location_id", "parameter", "datetime_utc", "value"]
+ROWS_SQL = "seq, location_id, parameter, datetime_utc::VARCHAR AS datetime_utc, round(value + 1e-9, 6) AS value"
+
+
 @query("overwritten_location", "SNK-1", f"""
-WITH {M} SELECT location_id, parameter, count(*) AS n FROM (SELECT * FROM m WHERE location_id <> 3 UNION ALL
-  SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY parameter, datetime_utc ORDER BY seq) AS rn FROM m WHERE location_id = 3) WHERE rn = 1) GROUP BY 1, 2""")
+WITH {M} SELECT {ROWS_SQL} FROM (SELECT * FROM m WHERE location_id <> 3 UNION ALL
+  SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY parameter, datetime_utc ORDER BY seq) AS rn FROM m WHERE location_id = 3) WHERE rn = 1)""")
 def overwritten_location(spark, sf_dir):
     """Location 3 is replaced by its merged form, the others stay."""
     rows = silver(spark, sf_dir)
     kept = new_store(spark, rows)
     kept.append(rows)
     kept.overwrite(merge.merge([rows.where("location_id = 3")]))
-    return kept.read().groupBy("location_id", "parameter").agg(F.count(F.lit(1)).alias("n"))
+    return kept.read().select(*ROWS)
+
+
+@query("replaced_years", "SNK-1", f"""
+WITH {OM} SELECT {ROWS_SQL} FROM om WHERE location_id <> 3 OR datetime_utc >= TIMESTAMP '1998-01-01'""")
+def replaced_years(spark, sf_dir):
+    """A location with several years is replaced, in place, by its later ones."""
+    rows = base.order_readings(spark, sf_dir)
+    kept = new_store(spark, rows)
+    kept.append(rows)
+    kept.overwrite(kept.location(3).where("datetime_utc >= TIMESTAMP_NTZ '1998-01-01 00:00:00'"))
+    return kept.read().select(*ROWS)
 
 
 INGEST_HIST = f"""{M},
 hk AS (SELECT DISTINCT location_id, parameter_id, sensor_id, datetime_utc, datetime_to_utc FROM m),
-bk AS (SELECT DISTINCT location_id, parameter, datetime_to_utc FROM m)"""
+bk AS (SELECT DISTINCT location_id, parameter, datetime_to_utc FROM m),
+fk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY location_id, parameter_id, sensor_id, datetime_utc, datetime_to_utc ORDER BY seq) AS rn FROM m) WHERE rn = 1)"""
 
 
 def two_loads(spark, sf_dir) -> store.MeasurementStore:
@@ -169,10 +185,9 @@ def two_loads(spark, sf_dir) -> store.MeasurementStore:
     return kept
 
 
-@query("store_after_two_loads", "SNK-2 STR-1 STR-2", f"WITH {INGEST_HIST} SELECT location_id, count(*) AS n, max(datetime_to_utc)::VARCHAR AS latest FROM hk GROUP BY 1")
+@query("store_after_two_loads", "SNK-2 STR-1 STR-2", f"WITH {INGEST_HIST} SELECT {ROWS_SQL} FROM fk")
 def store_after_two_loads(spark, sf_dir):
-    kept = two_loads(spark, sf_dir).read()
-    return kept.groupBy("location_id").agg(F.count(F.lit(1)).alias("n"), F.max("datetime_to_utc").alias("latest"))
+    return two_loads(spark, sf_dir).read().select(*ROWS)
 
 
 @query("state_after_two_loads", "SNK-4 SRC-8 AGG-26", f"""
@@ -184,7 +199,7 @@ def state_after_two_loads(spark, sf_dir):
     return two_loads(spark, sf_dir).read_state()
 
 
-@query("reload_after_reset", "STR-5", f"WITH {INGEST_HIST} SELECT location_id, count(*) AS n FROM hk GROUP BY 1")
+@query("reload_after_reset", "STR-5", f"WITH {INGEST_HIST} SELECT {ROWS_SQL} FROM fk")
 def reload_after_reset(spark, sf_dir):
     """Forgetting the bookmarks loads everything again; nothing is doubled."""
     rows = silver(spark, sf_dir)
@@ -193,12 +208,12 @@ def reload_after_reset(spark, sf_dir):
     kept.reset_state()
     again = plan.since_bookmark(rows, kept.read_state())
     plan.ingest(kept, again, RUN_TIME, ["seq"])
-    return kept.read().groupBy("location_id").agg(F.count(F.lit(1)).alias("n"))
+    return kept.read().select(*ROWS)
 
 
 @query("merged_and_previous_version", "SNK-3", f"""
-WITH {M} SELECT 'previous' AS version, count(*) AS n FROM m UNION ALL
-SELECT 'current', count(*) FROM (SELECT DISTINCT location_id, datetime_utc, parameter_id FROM m)""")
+WITH {M} SELECT 'previous' AS version, {ROWS_SQL} FROM m UNION ALL SELECT 'current', {ROWS_SQL} FROM (
+  SELECT *, row_number() OVER (PARTITION BY location_id, datetime_utc, parameter_id ORDER BY seq) AS rn FROM m) WHERE rn = 1""")
 def merged_and_previous_version(spark, sf_dir):
     rows = silver(spark, sf_dir)
     path = scratch_path(spark, "versions_of")
@@ -208,7 +223,7 @@ def merged_and_previous_version(spark, sf_dir):
         store.current_version(spark, path, rows.schema, back).withColumn("version", F.lit(name))
         for back, name in ((0, "current"), (1, "previous"))
     ]
-    return both[0].unionByName(both[1]).groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+    return both[0].unionByName(both[1]).select("version", *ROWS)
 
 
 @query("run_history", "SNK-5 SRC-9 WIN-4", f"""

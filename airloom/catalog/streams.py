@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from airloom import schema
 from airloom.catalog import base
 from airloom.catalog.base import M, query
 from airloom.catalog.landing import INGEST_HIST
@@ -12,15 +13,18 @@ from airloom.plans.ingest import since_bookmark
 from airloom.session import scratch_path
 from airloom.sources import landed
 from airloom.sources.store import MeasurementStore
-from airloom.streaming.daily import daily_means_stream, write_closed_days
-from airloom.streaming.ingest import stream_ingest, stream_records
+from airloom.streaming.daily import daily_means_stream, open_days, write_closed_days
+from airloom.streaming.ingest import read_records, stream_ingest, stream_records
 
+FILE_RECORDS = 4000
+FILES_PER_BATCH = 10
 
-def land_lines(spark, sf_dir, files: int = 3) -> str:
-    """Records as JSON lines in a few files, so that several micro-batches run."""
+
+def land_lines(spark, sf_dir) -> str:
+    """Records as JSON lines, with cut-off lines in files of their own."""
     m = base.measurements(spark, sf_dir)
     path = scratch_path(spark, "lines")
-    m.select(nested_record(m).alias("r")).select("r.*").repartition(files).write.json(path)
+    m.select(nested_record(m).alias("r")).select("r.*").write.option("maxRecordsPerFile", FILE_RECORDS).json(path)
     # cut-off lines, which must neither stop the load nor become rows
     cut = m.where("seq % 100 = 7").select(F.substring(F.to_json(nested_record(m)), 1, 40).alias("line"))
     cut.write.mode("append").text(path)
@@ -28,36 +32,36 @@ def land_lines(spark, sf_dir, files: int = 3) -> str:
 
 
 @query("streamed_ingest", "STR-1 STR-2 STR-7", f"""
-WITH {INGEST_HIST} SELECT location_id, parameter_id, count(*) AS n, max(datetime_to_utc)::VARCHAR AS latest FROM hk GROUP BY 1, 2""")
+WITH {INGEST_HIST} SELECT location_id, parameter_id, sensor_id, datetime_utc::VARCHAR AS datetime_utc, datetime_to_utc::VARCHAR AS datetime_to_utc FROM hk""")
 def streamed_ingest(spark, sf_dir):
-    records = stream_records(spark, land_lines(spark, sf_dir), files_per_batch=2)
+    records = stream_records(spark, land_lines(spark, sf_dir), FILES_PER_BATCH)
     kept = MeasurementStore(spark, scratch_path(spark, "store"), records.schema)
-    stream_ingest(records, kept, scratch_path(spark, "checkpoint"), ["source_file", "value"]).awaitTermination()
-    return kept.read().groupBy("location_id", "parameter_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max("datetime_to_utc").alias("latest")
-    )
+    stream_ingest(records, kept, scratch_path(spark, "checkpoint")).awaitTermination()
+    return kept.read().select(*schema.INGEST_KEY)
 
 
 @query("streamed_state", "STR-1 SNK-4", f"""
 WITH {INGEST_HIST} SELECT location_id, parameter, max(datetime_to_utc)::VARCHAR AS last_fetch_time FROM bk GROUP BY 1, 2""")
 def streamed_state(spark, sf_dir):
-    records = stream_records(spark, land_lines(spark, sf_dir), files_per_batch=2)
+    records = stream_records(spark, land_lines(spark, sf_dir), FILES_PER_BATCH)
     kept = MeasurementStore(spark, scratch_path(spark, "store"), records.schema)
-    stream_ingest(records, kept, scratch_path(spark, "checkpoint"), ["source_file", "value"]).awaitTermination()
+    stream_ingest(records, kept, scratch_path(spark, "checkpoint")).awaitTermination()
     return kept.read_state().select("location_id", "parameter", "last_fetch_time")
 
 
 @query("streamed_daily_means", "STR-6 STR-4", f"""
 WITH {M}, e AS (SELECT max(datetime_local) AS latest FROM m)
-SELECT parameter, location_id, datetime_local::DATE::VARCHAR AS date, round(avg(value) + 1e-9, 6) AS mean, count(*) AS n
-FROM m, e WHERE datetime_local::DATE + INTERVAL 1 DAY <= latest - INTERVAL 1 DAY GROUP BY 1, 2, 3""")
+SELECT parameter, location_id, date::VARCHAR AS date, round(avg(value) + 1e-9, 6) AS mean, count(*) AS n,
+  date + INTERVAL 1 DAY <= any_value(latest) - INTERVAL 1 DAY AS is_closed FROM (SELECT *, datetime_local::DATE AS date FROM m), e GROUP BY parameter, location_id, date""")
 def streamed_daily_means(spark, sf_dir):
-    """Days the watermark has closed; the last ones stay open."""
-    records = landed.accepted(stream_records(spark, land_lines(spark, sf_dir, 1)))
+    """Days the watermark has closed, and the last, still open ones as they stand."""
+    lines = land_lines(spark, sf_dir)
     path, checkpoint = scratch_path(spark, "daily"), scratch_path(spark, "checkpoint")
-    means = daily_means_stream(records)
+    means = daily_means_stream(landed.accepted(stream_records(spark, lines)))
     write_closed_days(means, path, checkpoint).awaitTermination()
-    return spark.read.schema(means.schema).parquet(path)
+    closed = spark.read.schema(means.schema).parquet(path)
+    still_open = open_days(landed.accepted(read_records(spark, lines)), closed)
+    return closed.withColumn("is_closed", F.lit(True)).unionByName(still_open.withColumn("is_closed", F.lit(False)))
 
 
 @query("late_sensor_records", "STR-3", f"""

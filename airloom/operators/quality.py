@@ -21,14 +21,14 @@ def range_rules(spark, ranges: dict[str, tuple[float, float]] | None = None, ali
     return spark.createDataFrame(rows, "rule_parameter string, lowest double, highest double")
 
 
-def opened(records: DataFrame, record: str = "record") -> DataFrame:
+def opened(records: DataFrame, record: str = "record", required: list[str] = fixed.REQUIRED_FIELDS) -> DataFrame:
     """Adds ``_f``: the parts of each VARIANT record that the rules look at.
 
     A part is NULL where it is missing and a JSON null where it is null; the
     two objects are NULL where the value is not an object. Each part is taken
     out once, and the rules below are plain comparisons on typed columns.
     """
-    fields = ", ".join(f"{f}: variant" for f in fixed.REQUIRED_FIELDS)
+    fields = ", ".join(f"`{f}`: variant" for f in dict.fromkeys(["value", "parameter", "period", *required]))
     top = records.withColumn("_top", F.expr(f"try_variant_get({record}, '$', 'struct<{fields}>')"))
     parts = top.selectExpr(
         *records.columns, "_top",
@@ -38,7 +38,7 @@ def opened(records: DataFrame, record: str = "record") -> DataFrame:
     )
     return parts.selectExpr(
         *records.columns,
-        *[f"_top.{f} IS NOT NULL AS _has_{f}" for f in fixed.REQUIRED_FIELDS],
+        *[f"_top.`{f}` IS NOT NULL AS `_has_{f}`" for f in dict.fromkeys(["parameter", "period", *required])],
         "_parameter IS NOT NULL AS _parameter_object",
         "_parameter.id IS NOT NULL AND _parameter.name IS NOT NULL AS _parameter_whole",
         "_period IS NOT NULL AS _period_object", "_period.datetimeFrom IS NOT NULL AS _period_whole",
@@ -50,9 +50,9 @@ def opened(records: DataFrame, record: str = "record") -> DataFrame:
     )
 
 
-def schema_errors() -> list[Column]:
+def schema_errors(required: list[str] = fixed.REQUIRED_FIELDS) -> list[Column]:
     """One CASE per rule; a field that is present but null counts as present."""
-    checks = [F.when(~F.col(f"_has_{f}"), F.lit(fixed.MISSING_FIELD + f)) for f in fixed.REQUIRED_FIELDS]
+    checks = [F.when(~F.col(f"`_has_{f}`"), F.lit(fixed.MISSING_FIELD + f)) for f in required]
     for name, not_object, incomplete in (
         ("parameter", fixed.PARAMETER_NOT_OBJECT, fixed.PARAMETER_INCOMPLETE),
         ("period", fixed.PERIOD_NOT_OBJECT, fixed.PERIOD_INCOMPLETE),
@@ -62,7 +62,7 @@ def schema_errors() -> list[Column]:
     return checks
 
 
-def time_errors() -> list[Column]:
+def time_errors(max_age_days: int = fixed.MAX_AGE_DAYS) -> list[Column]:
     """Checks of the start time; an absent or empty one is left to the schema rules."""
     given = F.col("_start") != ""
     text = F.col("_start")
@@ -70,7 +70,7 @@ def time_errors() -> list[Column]:
         F.when(given & ~F.col("_readable"), F.concat(F.lit(fixed.TIME_INVALID), text)),
         F.when(given & F.col("_readable") & (F.col("_age_days") < 0), F.concat(F.lit(fixed.TIME_IN_FUTURE), text)),
         F.when(
-            given & F.col("_readable") & (F.col("_age_days") > fixed.MAX_AGE_DAYS), F.concat(F.lit(fixed.TIME_TOO_OLD), text)
+            given & F.col("_readable") & (F.col("_age_days") > max_age_days), F.concat(F.lit(fixed.TIME_TOO_OLD), text)
         ),
     ]
 
@@ -81,7 +81,8 @@ def range_warnings() -> list[Column]:
     # a fraction that is zero is not kept by the parser, but was given
     bare = F.col("_number").isNotNull() & ~F.col("_whole") & ~F.col("_shown").contains(".")
     shown = F.when(bare, F.concat(F.col("_shown"), F.lit(".0"))).otherwise(F.col("_shown"))
-    limits = F.format_string(" outside valid range [%d, %d]", F.col("lowest").cast("long"), F.col("highest").cast("long"))
+    low, high = (F.when(F.col(c) == F.floor(c), F.col(c).cast("long").cast("string")).otherwise(F.col(c).cast("string")) for c in ("lowest", "highest"))
+    limits = F.format_string(" outside valid range [%s, %s]", low, high)
     return [
         F.when(ruled & F.col("_number").isNull(), F.concat(F.lit(fixed.VALUE_NOT_NUMERIC), F.coalesce(shown, F.lit("")))),
         F.when(
@@ -91,22 +92,25 @@ def range_warnings() -> list[Column]:
     ]
 
 
-def validate(records: DataFrame, rules: DataFrame, as_of: str, record: str = "record") -> DataFrame:
+def validate(
+    records: DataFrame, rules: DataFrame, as_of: str, record: str = "record",
+    required: list[str] = fixed.REQUIRED_FIELDS, max_age_days: int = fixed.MAX_AGE_DAYS,
+) -> DataFrame:
     """Adds ``errors``, ``warnings`` and ``valid`` to VARIANT records.
 
-    Range violations are warnings: the record stays valid. The planner
+    Ranges, required fields and the age limit are the caller's. Range violations are warnings: the record stays valid. The planner
     broadcasts the rule table if its size allows.
     """
     moment = F.col("_start").try_cast("timestamp")
     at = F.lit(as_of).cast("timestamp")
     # a time in the future has a negative age, even by less than a day
     age = F.when(moment > at, F.lit(-1)).otherwise(calendar.elapsed_days(moment, at))
-    timed = opened(records, record).withColumns({
+    timed = opened(records, record, required).withColumns({
         "_readable": F.coalesce(calendar.is_iso(F.col("_start")), F.lit(False)), "_age_days": age,
     })
     joined = timed.join(rules, F.col("_name") == F.col("rule_parameter"), "left")
     verdict = F.struct(
-        nested.kept(*schema_errors(), *time_errors()).alias("errors"), nested.kept(*range_warnings()).alias("warnings")
+        nested.kept(*schema_errors(required), *time_errors(max_age_days)).alias("errors"), nested.kept(*range_warnings()).alias("warnings")
     )
     # unpacking through a generator keeps later filters from repeating the rules
     judged = joined.withColumn("_verdict", verdict).select(*records.columns, F.inline(F.array("_verdict")))

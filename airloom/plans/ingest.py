@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom import schema
@@ -16,8 +16,6 @@ from airloom.sources import landed
 from airloom.sources.store import PARTITIONS, MeasurementStore, with_month
 
 STATE_KEY = ["location_id", "parameter"]
-# Longest list of partition values that is turned into a filter.
-PARTITION_LIST = 5_000
 
 
 def since_bookmark(records: DataFrame, state: DataFrame, lateness: str = "0 seconds", ts: str = "datetime_utc", keys: list[str] | None = None) -> DataFrame:
@@ -33,21 +31,33 @@ def since_bookmark(records: DataFrame, state: DataFrame, lateness: str = "0 seco
     return joined.where(reached).drop("_mark")
 
 
-def touched_partitions(batch: DataFrame, most: int = PARTITION_LIST) -> Column:
-    """Filter on the store's partitions that the batch can collide with.
+def touched_by(batch: DataFrame) -> DataFrame:
+    """The (location, month) pairs of the batch, with their row counts ``n``."""
+    return stage(with_month(batch).groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n")), "touched_partitions")
 
-    Short lists of locations and months become literal partition filters, so
-    other partitions are not even opened. A column with a longer list is not
-    filtered: pruning only saves reading, the anti join decides.
+
+def touched_history(history: DataFrame, touched: DataFrame) -> DataFrame:
+    """The rows of the store's partitions that a batch can collide with.
+
+    Nothing is collected: the join prunes partitions while it runs, and months
+    outside the batch's span are cut off by two scalar subqueries even where
+    the pairs are too many to be broadcast. Rows without location or month lie
+    in partitions of their own and are always read.
     """
-    touched = stage(with_month(batch).select(*PARTITIONS).distinct(), "touched_partitions")
-    inside = F.lit(True)
-    for column in PARTITIONS:
-        values = [row[0] for row in touched.select(column).distinct().limit(most + 1).collect()]
-        if len(values) <= most:
-            known = F.col(column).isin([v for v in values if v is not None])
-            inside = inside & (known | F.col(column).isNull() if None in values else known)
-    return inside
+    month = F.col("event_month")
+    first, last = (touched.agg(f("event_month")).scalar() for f in (F.min, F.max))
+    # the comparison tells the planner that this side selects; it lets every pair through
+    pairs = touched.where("n > 0").select(*PARTITIONS)
+    known = history.where(month.between(first, last)).join(pairs, PARTITIONS, "left_semi")
+    return known.unionByName(history.where(F.col("location_id").isNull() | month.isNull()))
+
+
+def records_of(history: DataFrame, locations: DataFrame) -> DataFrame:
+    """All rows of the locations given as ``(location_id, n)``; other locations are not opened."""
+    wanted = locations.where("n >= 0").select("location_id")
+    known = history.join(wanted, "location_id", "left_semi")
+    missing = locations.where("location_id IS NULL").select("location_id")
+    return known.unionByName(null_safe_join(history.where("location_id IS NULL"), missing, ["location_id"], "left_semi"))
 
 
 def _count(rows: DataFrame, name: str) -> DataFrame:
@@ -70,16 +80,20 @@ def _stats(counts: list[DataFrame]) -> DataFrame:
     )
 
 
-def location_stats(fetched: DataFrame, new: DataFrame, history: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+def location_stats(
+    fetched: DataFrame, new: DataFrame, history: DataFrame, rejected: DataFrame | None = None, configured: DataFrame | None = None
+) -> DataFrame:
     """Fetched, new, duplicate and total records and a status per location.
 
     A location fails when it had rejected records and no usable one; it does
-    not stop the others.
+    not stop the others. Each ``configured`` location has a row, a silent one too.
     """
     added = _count(new, "new").withColumn("total", F.col("new"))
     counts = [_count(fetched, "fetched"), added, _count(history, "total")]
     if rejected is not None:
         counts.append(_count(rejected, "rejected"))
+    if configured is not None:
+        counts.append(configured.select("location_id"))
     return _stats(counts)
 
 
@@ -113,14 +127,15 @@ def new_counts(new: DataFrame) -> DataFrame:
 
 def ingest(
     store: MeasurementStore, fetched: DataFrame, run_time: str, order: list[str],
-    keys: list[str] | None = None, with_stats: bool = True,
+    keys: list[str] | None = None, with_stats: bool = True, configured: DataFrame | None = None,
 ) -> DataFrame | None:
     """Append what is new, move the bookmarks, return statistics per location.
 
     The batch is read from its source once. New rows go straight to the store,
     marked with the run, and are counted there. Safe to run again with the
     same batch: the second run finds only duplicates. Rows with a
-    ``reject_reason`` go to the store's quarantine and into the statistics.
+    ``reject_reason`` go to the store's quarantine and into the statistics,
+    which list the locations of the batch and those ``configured``.
     """
     keys = keys or schema.INGEST_KEY
     run = uuid.uuid4().hex
@@ -129,13 +144,18 @@ def ingest(
         bad, fetched = landed.rejected(fetched), landed.accepted(fetched)
         store.quarantine(bad.withColumn("ingest_run", F.lit(run)))
         failed = [_count(bad, "rejected")]
-    touched = touched_partitions(fetched)
-    new = not_in(keep_first(fetched, keys, order), store.read().where(touched), keys)
+    touched = touched_by(fetched)
+    new = not_in(keep_first(fetched, keys, order), touched_history(store.read(), touched), keys)
     store.append(new.withColumn("ingest_run", F.lit(run)))
-    added = stage(new_counts(store.read().where(touched & (F.col("ingest_run") == run))), "new_counts")
+    added = stage(new_counts(touched_history(store.read(), touched).where(F.col("ingest_run") == run)), "new_counts")
     store.write_state(next_state(fetched, added, run_time))
     if not with_stats:
         return None
     by_location = added.groupBy("location_id").agg(F.sum("new").alias("new"))
-    # location_id is a partition column, so the total reads file footers only
-    return stage(_stats([_count(fetched, "fetched"), by_location, _count(store.read(), "total"), *failed]), "ingest_stats")
+    listed = touched.select("location_id", "n")
+    for more in failed + ([] if configured is None else [configured]):
+        listed = listed.unionByName(more.select("location_id", F.lit(0).cast("long").alias("n")))
+    listed = stage(listed.groupBy("location_id").agg(F.sum("n").alias("n")), "locations")
+    # location_id is a partition column, so the total reads file footers only, of these locations
+    total = _count(records_of(store.read(), listed), "total")
+    return stage(_stats([_count(fetched, "fetched"), by_location, total, *failed, listed.select("location_id")]), "ingest_stats")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom import fixed_values as fixed
+from airloom import schema
 from airloom.functions import calendar
 
 ALERT = ["timestamp", "level", "title", "message", "context"]
@@ -22,6 +23,23 @@ def run_metrics(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_row(stats: DataFrame, run_id: str, started: str, ended: str) -> DataFrame:
+    """The run-log row of one ingest, from its statistics per location."""
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in (started, ended))
+    failed = F.col("status") == "error"
+    sums = stats.agg(
+        F.coalesce(F.sum("fetched_records"), F.lit(0)).alias("total_records_fetched"),
+        F.coalesce(F.sum("duplicates_removed"), F.lit(0)).alias("total_records_deduplicated"),
+        F.count(F.lit(1)).alias("total_locations_processed"),
+        F.count_if(~failed).alias("successful_locations"), F.count_if(failed).alias("failed_locations"),
+    ).withColumn("duration_seconds", calendar.seconds_between(start, end))
+    metrics = F.create_map(*[part for c in fixed.RUN_COUNTERS for part in (F.lit(c), F.col(c).cast("double"))])
+    return sums.select(
+        F.lit(run_id).alias("run_id"), start.alias("start_time"), end.alias("end_time"), metrics.alias("metrics"),
+        F.array().cast(schema.RUN["errors"].dataType).alias("errors"),
+    )
+
+
 def last_runs(runs: DataFrame, keep: int = fixed.RUNS_KEPT) -> DataFrame:
     return runs.orderBy(F.desc("start_time"), F.desc("run_id")).limit(keep)
 

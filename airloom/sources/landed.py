@@ -16,6 +16,11 @@ from airloom.functions.text import location_id_from_path
 
 NOT_JSON = "document is not JSON"
 NOT_ARRAY = "document is not an array of records"
+TOO_LONG = "document has no readable array and is too long to tell why"
+#: A document longer than one VARIANT is read record by record, but cannot be looked at as a whole.
+VARIANT_BYTES = 128 * 2**20
+#: Room for the positions of one file in ``seq``.
+POSITIONS = 10**15
 # Typed parts of a record; a part of another type is NULL, the rest stays.
 _OPEN_RECORD = (
     "struct<value: double, parameter: variant, locationId: bigint, sensors: array<struct<id: bigint>>, sensorId: bigint, "
@@ -34,28 +39,37 @@ def read_documents(spark: SparkSession, path: str | list[str], whole_files: bool
     return text.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("document"))
 
 
-def parse_documents(documents: DataFrame, records_path: str = "$") -> DataFrame:
-    """Adds the parsed records array and the reason a document is unusable."""
-    parsed = documents.withColumn("_doc", F.try_parse_json("document"))
-    parsed = parsed.withColumn("records", F.try_variant_get("_doc", records_path, "array<variant>"))
-    reason = F.when(F.col("_doc").isNull(), NOT_JSON).when(F.col("records").isNull(), NOT_ARRAY)
-    return parsed.withColumn("reject_reason", reason).drop("_doc")
+def parse_documents(documents: DataFrame, field: str | None = None) -> DataFrame:
+    """Adds the parsed records array and the reason a document is unusable.
+
+    The array is the document itself or its ``field``. Each record becomes a
+    VARIANT of its own, so only a record has a size limit, not a document.
+    """
+    if field is None:
+        records = F.from_json("document", "array<variant>")
+    else:
+        records = F.from_json("document", f"struct<`{field}`: array<variant>>")[field]
+    unread = F.col("records").isNull()
+    not_json = F.when(F.octet_length("document") > VARIANT_BYTES, TOO_LONG).otherwise(NOT_JSON)
+    reason = F.when(unread & F.try_parse_json("document").isNull(), not_json).when(unread, NOT_ARRAY)
+    return documents.withColumn("records", records).withColumn("reject_reason", reason)
 
 
 def explode_records(parsed: DataFrame) -> DataFrame:
     """One row per record with its position; unusable documents give none."""
     kept = [c for c in parsed.columns if c not in ("document", "records", "reject_reason")]
-    return parsed.where("reject_reason IS NULL").select(*kept, F.posexplode("records").alias("position", "record"))
+    return parsed.select(*kept, F.posexplode("records").alias("position", "record"))
 
 
 def with_arrival_order(records: DataFrame) -> DataFrame:
     """Adds ``seq``: files in an arbitrary fixed order, records by position.
 
     Needs one document per file. A number made from the file name takes no
-    shuffle and is the same on every run; a file holds up to 16 million records.
+    shuffle and is the same on every run. It is a decimal with room for the
+    whole 64-bit hash and the position, and fits the buffers of hash aggregates.
     """
-    file_number = F.shiftrightunsigned(F.xxhash64("source_file"), 25)
-    return records.withColumn("seq", F.shiftleft(file_number, 24).bitwiseAND(F.lit(2**63 - 1)) + F.col("position"))
+    first = F.xxhash64("source_file").cast("decimal(20,0)") * F.lit(POSITIONS).cast("decimal(16,0)")
+    return records.withColumn("seq", (first + F.col("position").cast("decimal(15,0)")).cast("decimal(38,0)"))
 
 
 def quarantined_documents(parsed: DataFrame) -> DataFrame:
@@ -143,7 +157,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def quarantined_pages(spark: SparkSession, path: str) -> DataFrame:
     """Lines that ``read_pages`` cannot use, with the reason."""
-    return quarantined_documents(parse_documents(read_documents(spark, path, whole_files=False), "$.results"))
+    return quarantined_documents(parse_documents(read_documents(spark, path, whole_files=False), "results"))
 
 
 def sensors_of(directories: DataFrame) -> DataFrame:

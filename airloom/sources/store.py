@@ -74,7 +74,9 @@ class MeasurementStore:
         return rows.where(recent & (F.col("datetime_utc") >= F.lit(moment).cast("timestamp_ntz")))
 
     def append(self, new: DataFrame) -> None:
-        _arranged(new).write.mode("append").partitionBy(*PARTITIONS).parquet(self.data)
+        """Add rows; columns that the store does not keep are left out."""
+        kept = [c for c in self.row_type.fieldNames() if c in new.columns]
+        _arranged(new.select(*kept)).write.mode("append").partitionBy(*PARTITIONS).parquet(self.data)
 
     def overwrite(self, df: DataFrame) -> None:
         """Replace the locations that ``df`` has rows for, with all their months, and no others.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from airloom.operators.dedup import not_in
+
 
 def daily_means_stream(records: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Mean per parameter, location and local day; days close ``lateness`` later.
@@ -22,6 +24,14 @@ def daily_means_stream(records: DataFrame, lateness: str = "1 day") -> DataFrame
     )
 
 
+def open_days(records: DataFrame, closed: DataFrame) -> DataFrame:
+    """Means of the days a stream has not closed yet, from the records landed so far (a batch read)."""
+    days = records.groupBy("parameter", "location_id", F.to_date("datetime_local").alias("date")).agg(
+        F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n")
+    )
+    return not_in(days, closed, ["parameter", "location_id", "date"])
+
+
 def write_closed_days(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append each day once, when the watermark has passed it."""
     return (

@@ -15,22 +15,32 @@ from airloom.sources.landed import flat
 from airloom.sources.store import MeasurementStore
 
 
+#: Order in which lines arrived: files by time, blocks of a file, lines of a block.
+ARRIVAL = ["landed_at", "source_file", "file_block", "line"]
 _LINE = T.StructType([*schema.RAW_RECORD.fields, T.StructField("_corrupt", T.StringType())])
 
 
 def stream_records(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Flat measurements of landed JSON lines as a stream.
-
-    A line that is no record, or one without parameter or start time, has a
-    ``reject_reason`` and its text in ``raw``.
-    """
+    """Flat measurements of landed JSON lines as a stream; see ``_measured``."""
     reader = spark.readStream.schema(_LINE).option("columnNameOfCorruptRecord", "_corrupt")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    raw = reader.json(path)
+    return _measured(reader.json(path))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The same lines, those landed so far, as a batch."""
+    return _measured(spark.read.schema(_LINE).option("columnNameOfCorruptRecord", "_corrupt").json(path))
+
+
+def _measured(raw: DataFrame) -> DataFrame:
+    """Flat measurements with their place. A line that is no record, or one without
+    parameter or start time, has a ``reject_reason`` and its text in ``raw``."""
     record = F.struct(*schema.RAW_RECORD.fieldNames())
-    rows = raw.select(F.col("_metadata.file_path").alias("source_file"), record.alias("record"), "_corrupt").select(
-        "source_file", *flat(F.col("record")), F.coalesce("_corrupt", F.to_json("record")).alias("raw"),
+    place = [F.col(f"_metadata.{c}").alias(name) for c, name in (
+        ("file_path", "source_file"), ("file_modification_time", "landed_at"), ("file_block_start", "file_block"))]
+    rows = raw.select(*place, record.alias("record"), "_corrupt").select(
+        "source_file", "landed_at", "file_block", *flat(F.col("record")), F.coalesce("_corrupt", F.to_json("record")).alias("raw"),
         F.col("_corrupt").isNotNull().alias("_broken"),
     )
     reason = (
@@ -42,19 +52,20 @@ def stream_records(spark: SparkSession, path: str, files_per_batch: int | None =
 
 
 def stream_ingest(
-    records: DataFrame, store: MeasurementStore, checkpoint: str, order: list[str],
+    records: DataFrame, store: MeasurementStore, checkpoint: str, order: list[str] = ARRIVAL,
     keys: list[str] | None = None, every: str | None = None,
 ) -> StreamingQuery:
     """Deduplicate each micro-batch in itself and against all history, then append.
 
     ``every`` ("2 hours") keeps the query running on that cadence; without it
     everything landed so far is loaded and the query ends. A replayed batch
-    adds nothing, so a restart after a failure is harmless.
+    adds nothing, so a restart after a failure is harmless. ``line`` counts up
+    in a block, which one task reads from its start.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
         now = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        ingest(store, batch, now, order, keys, with_stats=False)
+        ingest(store, batch.withColumn("line", F.monotonically_increasing_id()), now, order, keys, with_stats=False)
 
     writer = records.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)

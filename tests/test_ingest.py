@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airloom import schema
 from airloom.operators import dedup
-from airloom.plans import ingest, merge
+from airloom.plans import ingest, merge, runs
 from airloom.sources import landed, store
 from airloom.streaming.ingest import stream_ingest, stream_records
 
@@ -190,13 +190,74 @@ def test_history_is_pruned_to_the_batch(spark, folder):
     timeless = flat_rows(spark, [1]).withColumn("datetime_utc", F.expr("CAST(NULL AS TIMESTAMP_NTZ)"))
     kept = store.MeasurementStore(spark, folder, old.schema)
     kept.append(old.unionByName(flat_rows(spark, [2])).unionByName(timeless))
-    touched = kept.read().where(ingest.touched_partitions(flat_rows(spark, [3])))
-    assert touched.count() == 1
-    plan = touched._jdf.queryExecution().toString()
-    assert "event_month" in plan.split("PartitionFilters: [")[1].split("]")[0]
-    assert kept.read().where(ingest.touched_partitions(flat_rows(spark, [3]), most=0)).count() == 3
-    # a record without a time still meets its twin in the history
-    assert kept.read().where(ingest.touched_partitions(timeless)).count() == 1
+    # rows without a time lie apart and are always looked at
+    touched = ingest.touched_history(kept.read(), ingest.touched_by(flat_rows(spark, [3])))
+    assert sorted(str(r.datetime_utc) for r in touched.collect()) == ["2025-12-05 02:00:00", "None"]
+    plan = touched._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "dynamicpruning" in plan and "event_month" in filters and "subquery" in filters.lower()
+    alone = ingest.touched_history(kept.read(), ingest.touched_by(timeless))
+    assert [r.datetime_utc for r in alone.collect()] == [None]
+
+
+def test_totals_are_counted_in_the_locations_of_the_batch_only(spark, folder):
+    rows = flat_rows(spark, [1, 2]).unionByName(flat_rows(spark, [1], place=2)).unionByName(flat_rows(spark, [1], place=None))
+    kept = store.MeasurementStore(spark, folder, rows.schema)
+    ingest.ingest(kept, rows, "2025-12-06 00:00:00", ["seq"])
+    configured = spark.createDataFrame([(1,), (9,)], "location_id long")
+    got = stats_of(ingest.ingest(kept, flat_rows(spark, [3]).unionByName(flat_rows(spark, [4], place=None)), "2025-12-07 00:00:00", ["seq"], configured=configured))
+    assert got == {1: (1, 1, 0, 3, "success"), 9: (0, 0, 0, 0, "success"), None: (1, 1, 0, 2, "success")}
+    listed = spark.createDataFrame([(1, 1)], "location_id long, n long")
+    assert "dynamicpruning" in ingest.records_of(kept.read(), listed)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_ingest_leaves_its_row_in_the_run_log(spark, folder):
+    rows = flat_rows(spark, [1, 2, 2])
+    kept = store.MeasurementStore(spark, folder, rows.schema)
+    stats = ingest.ingest(kept, rows, "2025-12-06 00:00:00", ["seq"])
+    kept.append_run(runs.run_row(stats, "r1", "2025-12-06 00:00:00", "2025-12-06 00:00:30"))
+    row = runs.run_metrics(kept.read_runs()).first()
+    assert (row.total_records_fetched, row.total_records_deduplicated, row.total_locations_processed) == (3, 1, 1)
+    assert (row.successful_locations, row.failed_locations, row.duration_seconds, row.total_errors) == (1, 0, 30, 0)
+
+
+def test_the_first_line_of_a_stream_stays(spark, folder):
+    write(folder, "a.json", "\n".join(json.dumps(record(value=v)) for v in (5.0, 1.0, 9.0)))
+    records = stream_records(spark, folder)
+    kept = store.MeasurementStore(spark, f"{folder}_store", records.schema)
+    stream_ingest(records, kept, f"{folder}_checkpoint").awaitTermination()
+    assert [r.value for r in kept.read().collect()] == [5.0]
+
+
+def test_a_stream_with_a_cadence_runs_on_until_it_is_stopped(spark, folder):
+    write(folder, "a.json", json.dumps(record()))
+    records = stream_records(spark, folder)
+    kept = store.MeasurementStore(spark, f"{folder}_store", records.schema)
+    running = stream_ingest(records, kept, f"{folder}_checkpoint", every="1 second")
+    try:
+        running.processAllAvailable()
+        write(folder, "b.json", json.dumps(record(hour=13)))
+        running.processAllAvailable()
+        assert running.isActive and kept.read().count() == 2
+    finally:
+        running.stop()
+
+
+def test_an_array_longer_than_one_variant_is_read_whole(spark, folder):
+    one = json.dumps({**record(place=1), "note": "x" * 4000})
+    n = 128 * 2**20 // len(one) + 100
+    write(folder, "location_1.json", "[" + ",".join([one] * n) + "]")
+    write(folder, "location_2.json", "[" + ",".join([one] * n) + ",")
+    parsed = load(spark, folder)
+    assert landed.explode_records(parsed).count() == n
+    assert [r.reject_reason for r in landed.quarantined_documents(parsed).select("reject_reason").collect()] == [landed.TOO_LONG]
+
+
+def test_numbers_of_two_files_never_mix(spark):
+    places = [(f"location_{i}.json", p) for i in range(3) for p in (0, 2**24, 2**31 - 1)]
+    rows = landed.with_arrival_order(spark.createDataFrame(places, "source_file string, position int")).orderBy("seq").collect()
+    files = [r.source_file for r in rows]
+    assert len({r.seq for r in rows}) == 9 and files == sorted(files, key=files.index)
 
 
 @pytest.mark.parametrize("files_per_batch", [1, None])
@@ -207,7 +268,7 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, folder, files_per_bat
     records = stream_records(spark, folder, files_per_batch)
     kept = store.MeasurementStore(spark, f"{folder}_store", records.schema)
     for attempt in ("a", "b"):  # the second checkpoint replays every file
-        stream_ingest(records, kept, f"{folder}_checkpoint_{attempt}", ["source_file", "value"]).awaitTermination()
+        stream_ingest(records, kept, f"{folder}_checkpoint_{attempt}").awaitTermination()
     key = ["parameter_id", "datetime_utc"]
     got = sorted((r.parameter_id, r.datetime_utc) for r in kept.read().select(*key).collect())
     batch = spark.read.schema(schema.RAW_RECORD).json(folder)
@@ -234,7 +295,7 @@ def test_malformed_lines_of_a_stream_go_to_quarantine(spark, folder):
     write(folder, "page.json", "\n".join([good, good[:60], json.dumps(record(place=7, parameter={"id": 1})), json.dumps(record(hour=13))]))
     records = stream_records(spark, folder)
     kept = store.MeasurementStore(spark, f"{folder}_store", records.schema)
-    stream_ingest(records, kept, f"{folder}_checkpoint", ["source_file", "value"]).awaitTermination()
+    stream_ingest(records, kept, f"{folder}_checkpoint").awaitTermination()
     assert [r.location_id for r in kept.read().collect()] == [101, 101]
     bad = {(r.reject_reason, r.location_id) for r in kept.read_quarantine().collect()}
     assert bad == {("line is not a record", None), ("no parameter name", 7)}
