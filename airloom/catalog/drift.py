@@ -75,7 +75,32 @@ def linear_baseline(spark, sf_dir):
 
 @query("random_forest_forecast", "ML-1")
 def random_forest_forecast(spark, sf_dir):
-    """PM2.5 and its prediction from hour, weekday, temperature and humidity."""
+    """PM2.5 of the next 24 hours of every location, from hour, weekday, temperature and humidity."""
     rows = models.training_rows(base.measurements(spark, sf_dir))
-    predicted = models.random_forest(rows).transform(rows)
-    return predicted.select("location_id", "datetime_utc", "pm25", "prediction")
+    predicted = models.random_forest(rows).transform(models.coming_hours(rows))
+    return predicted.select("location_id", "datetime_utc", "hours_ahead", "prediction")
+
+
+LABELLED = f"""{M}, y AS (SELECT location_id, datetime_utc, arg_min(value, seq) AS pm25 FROM m WHERE parameter = 'pm25' AND value IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query("forecast_in_range", "ML-1", f"""
+WITH {LABELLED} SELECT location_id, (max(datetime_utc) + h * INTERVAL 1 HOUR)::VARCHAR AS datetime_utc, h AS hours_ahead, TRUE AS is_in_range
+FROM y, range(1, 25) t(h) GROUP BY location_id, h""")
+def forecast_in_range(spark, sf_dir):
+    """The forecast's hours, and whether each prediction lies between the least and greatest label, as a forest's must."""
+    rows = models.training_rows(base.measurements(spark, sf_dir))
+    predicted = models.random_forest(rows).transform(models.coming_hours(rows))
+    least, greatest = (rows.agg(f("pm25")).scalar() for f in (F.min, F.max))
+    return predicted.select("location_id", "datetime_utc", "hours_ahead", F.col("prediction").between(least, greatest).alias("is_in_range"))
+
+
+@query("forest_holdout", "ML-1", f"""
+WITH {LABELLED}, e AS (SELECT max(datetime_utc) - INTERVAL 24 HOUR AS cut FROM y)
+SELECT location_id, count(*) AS n, max(pm25) IS NOT NULL AS is_scored, round(avg(pm25) + 1e-9, 6) AS mean FROM y, e WHERE datetime_utc > cut GROUP BY 1""")
+def forest_holdout(spark, sf_dir):
+    """The last day of the data, predicted by a forest that has not seen it: rows and true mean of every location."""
+    known, held = models.split_by_time(models.training_rows(base.measurements(spark, sf_dir)))
+    scored = models.random_forest(known).transform(held)
+    return scored.groupBy("location_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("prediction").isNotNull()).alias("is_scored"), F.avg("pm25").alias("mean"))
