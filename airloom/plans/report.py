@@ -102,7 +102,7 @@ def validation_report(metrics: DataFrame, errors: DataFrame, generated: str, ord
         F.transform("errors", lambda e: F.concat(F.lit("  - "), e)),
     )
     details = errors.select(
-        F.lit(3).alias("_place"), F.lpad(F.col(order).cast("string"), 20, "0").alias("_key"),
+        F.lit(3).alias("_place"), F.lpad(F.col(order).cast("string"), 38, "0").alias("_key"),
         F.posexplode(lines).alias("_pos", "text"),
     )
     gap = _section(some, 4, F.lit(""), F.lit(""))

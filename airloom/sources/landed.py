@@ -66,9 +66,10 @@ def with_arrival_order(records: DataFrame) -> DataFrame:
 
     Needs one document per file. A number made from the file name takes no
     shuffle and is the same on every run. It is a decimal with room for the
-    whole 64-bit hash and the position, and fits the buffers of hash aggregates.
+    whole 64-bit hash and the position, is never negative, and fits the buffers of hash aggregates.
     """
-    first = F.xxhash64("source_file").cast("decimal(20,0)") * F.lit(POSITIONS).cast("decimal(16,0)")
+    number = F.xxhash64("source_file").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+    first = number * F.lit(POSITIONS).cast("decimal(16,0)")
     return records.withColumn("seq", (first + F.col("position").cast("decimal(15,0)")).cast("decimal(38,0)"))
 
 

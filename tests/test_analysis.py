@@ -2,7 +2,9 @@ import os
 
 from test_ingest import record, write
 
-from airloom.plans import analysis, validate
+from airloom.operators import quality
+from airloom.plans import analysis, report, validate
+from airloom.sources import landed
 
 PARAMETERS = [(1, "pm1", 3.0), (2, "pm25", 30.0), (4, "temperature", 20.0)]
 
@@ -45,3 +47,11 @@ def test_file_validation_reports_scores_and_unreadable_files(spark, folder):
     assert got["location_7.json"].quality_score == 50
     assert got["location_9.json"].error == "document is not JSON" and got["location_9.json"].quality_score is None
     assert validate.validated_files(spark, path, "2025-12-06 00:00:00", sample_size=10).count() == 10
+
+
+def test_report_lists_records_of_files_in_their_order(spark, folder):
+    write(folder, "location_7.json", [{"value": i} for i in range(12)])
+    rows = validate.validated_files(spark, f"{folder}/location_*.json", "2025-12-06 00:00:00")
+    lines = report.validation_report(quality.quality_metrics(rows), quality.first_errors(rows), "now").orderBy("line_no").collect()
+    named = [int(r.text[7:-1]) for r in lines if r.text.startswith("Record ")]
+    assert named == sorted(named) and [n % landed.POSITIONS for n in named] == list(range(10))

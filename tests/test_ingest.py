@@ -258,6 +258,7 @@ def test_numbers_of_two_files_never_mix(spark):
     rows = landed.with_arrival_order(spark.createDataFrame(places, "source_file string, position int")).orderBy("seq").collect()
     files = [r.source_file for r in rows]
     assert len({r.seq for r in rows}) == 9 and files == sorted(files, key=files.index)
+    assert all(r.seq >= 0 for r in rows) and [r.position for r in rows] == [0, 2**24, 2**31 - 1] * 3
 
 
 @pytest.mark.parametrize("files_per_batch", [1, None])
