@@ -4,8 +4,8 @@ Folding lower-cases, maps look-alike letters of other alphabets and full-width
 forms to Latin ones, digits and signs that stand for letters to these letters,
 and punctuation to blanks. Lexicon entries are word beginnings. They are learned
 from at most ``MAX_LABELS`` labelled rows (those with the least hash of their
-id): beginnings of 4 to 10 letters in enough toxic texts, weighted by the log odds
-of toxic against other texts. Of a chain of beginnings the longest that
+id): all beginnings of 4 to 10 letters in ``MIN_TEXTS`` toxic texts with log odds of toxic
+against other texts, their weight, of ``MIN_WEIGHT`` or more. Of a chain of beginnings the longest that
 loses few toxic texts stands for all. Hits inside an exception phrase do not count.
 
 A text's score is a logistic function, fitted on the same rows, of the weight of its
@@ -33,7 +33,9 @@ from airloom.llm.classifier import labelled_sample, labels_of
 from airloom.llm.common import bytes_of, crc_mod, documents, prepare_workers, stage
 
 MAX_LABELS = 50_000
-MAX_CANDIDATES = 20_000
+#: Least number of toxic texts of a lexicon entry, at every size.
+MIN_TEXTS = 3
+HELD = 200_000
 LENGTHS = range(4, 11)
 MIN_WEIGHT = 2.5
 KEEP = 0.8
@@ -92,18 +94,21 @@ def hits(text: bytes, lexicon: Lexicon) -> tuple[float, int]:
     return sum(t[2] for t in total if not (spared and inside(t))), len(words)
 
 
-def beginnings(wanted: frozenset | None = None):
-    """A task's counts of texts by word beginning."""
+def beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's counts of toxic and clean texts by word beginning, handed on in parts so that few are held at a time."""
+    seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
-        for pdf in batches:
-            for text in pdf["text"]:
-                own = {w[:n] for w in set(folded(text)) for n in LENGTHS if len(w) >= n}
-                seen.update(own if wanted is None else own & wanted)
-        yield pd.DataFrame({"entry": list(seen.keys()), "n": list(seen.values())}).astype({"entry": str, "n": "int64"})
+    def part() -> pd.DataFrame:
+        rows = [(e, seen[1][e], seen[0][e]) for e in seen[0].keys() | seen[1].keys()]
+        return pd.DataFrame(rows, columns=["entry", "toxic", "clean"]).astype({"entry": str, "toxic": "int64", "clean": "int64"})
 
-    return run
+    for pdf in batches:
+        for text, toxic in zip(pdf["text"], pdf["toxic"]):
+            seen[bool(toxic)].update({w[:n] for w in set(folded(text)) for n in LENGTHS if len(w) >= n})
+        if len(seen[0]) + len(seen[1]) > HELD:
+            yield part()
+            seen = Counter(), Counter()
+    yield part()
 
 
 def learned_lexicon(texts: DataFrame) -> dict[str, float]:
@@ -112,18 +117,18 @@ def learned_lexicon(texts: DataFrame) -> dict[str, float]:
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic:
         return {}
-    count = lambda rows, wanted=None: rows.select("text").mapInPandas(beginnings(wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
-    often = count(texts.filter("toxic")).filter(F.col("n") >= max(3, n_toxic // 500))
-    toxic = dict(map(tuple, often.orderBy(F.desc("n"), "entry").limit(MAX_CANDIDATES).collect()))
-    clean = dict(map(tuple, count(texts.filter("NOT toxic"), frozenset(toxic)).collect()))
-    weight = {e: float(np.log((n + 0.5) / (n_toxic + 1)) - np.log((clean.get(e, 0) + 0.5) / (n_clean + 1))) for e, n in toxic.items()}
-    good = {e for e, w in weight.items() if w >= MIN_WEIGHT}
+    counts = texts.select("text", "toxic").mapInPandas(beginnings, "entry string, toxic long, clean long").groupBy("entry").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
+    good = counts.filter(F.col("toxic") >= MIN_TEXTS).withColumn("weight", odds).filter(F.col("weight") >= MIN_WEIGHT)
+    rows = good.select("entry", "toxic", "weight").collect()  # of MAX_LABELS labels
+    toxic, weight = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
     children: dict[str, list[str]] = {}
-    for e in good:
+    for e in sorted(weight):
         children.setdefault(e[:-1], []).append(e)
     out = {}
-    for e in sorted(good, key=len):
-        if any(e[:n] in good for n in range(LENGTHS[0], len(e))):
+    for e in sorted(weight, key=len):
+        if any(e[:n] in weight for n in range(LENGTHS[0], len(e))):
             continue  # a shorter beginning speaks for it
         while children.get(e) and toxic[longer := max(children[e], key=toxic.get)] >= KEEP * toxic[e]:
             e = longer
