@@ -41,7 +41,9 @@ class TokenCache(dict):
     """Ids (little-endian, 4 bytes each) of chunks without ASCII white space, for the chunks seen lately.
 
     The tokenizer splits at white space and lower-cases, so a text's ids are those
-    of its lower-cased chunks in a row. A point or comma after a letter is a token
+    of its chunks in a row. ASCII chunks are held in lower case. Others keep their case, as
+    characters are composed before they are lower-cased. A text with a special token's
+    literal, in any case, is not cut into chunks. A point or comma after a letter is a token
     of its own. Chunks that are new in a batch go to the tokenizer together. Of the
     chunks seen, two generations are kept; one in use passes to the younger.
     """
@@ -50,9 +52,17 @@ class TokenCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[bytes, bytes] = {}
 
+    def whole(self, text: bytes) -> bytes:
+        """The ids of a text by the tokenizer alone."""
+        return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def chunks(self, text: bytes, low: bytes) -> list[bytes]:
+        parts = low.split()
+        return parts if text.isascii() else [a if a.isascii() else b for a, b in zip(parts, text.split())]
+
     def learn(self, texts: list[list[bytes]]) -> None:
         chunks = set().union(*texts)
         new = chunks.difference(self)
@@ -77,10 +87,11 @@ def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for every core
         _CACHES[path] = TokenCache(path)
-    cache, chunks = _CACHES[path], [t.lower().split() for t in texts]
-    cache.learn(chunks)
-    end = END.to_bytes(4, "little")
-    return [b"".join(map(cache.__getitem__, c)) + end for c in chunks]
+    cache, end = _CACHES[path], END.to_bytes(4, "little")
+    lower = [t.lower() for t in texts]
+    chunks = [None if any(x in low for x in cache.literals) else cache.chunks(t, low) for t, low in zip(texts, lower)]
+    cache.learn([c for c in chunks if c is not None])
+    return [(cache.whole(t) if c is None else b"".join(map(cache.__getitem__, c))) + end for t, c in zip(texts, chunks)]
 
 
 def cut(n: int, capacity: int = CAPACITY, small: int = SMALL) -> list[int]:
