@@ -6,7 +6,8 @@ and punctuation to blanks. Lexicon entries are word beginnings. They are learned
 from at most ``MAX_LABELS`` labelled rows (those with the least hash of their
 id): all beginnings of 4 to 10 letters in ``MIN_TEXTS`` toxic texts with log odds of toxic
 against other texts, their weight, of ``MIN_WEIGHT`` or more. Of a chain of beginnings the longest that
-loses few toxic texts stands for all. Hits inside an exception phrase do not count.
+keeps ``KEEP`` of the toxic texts of the chain's first stands for it; the good branches beside it,
+and a good word that ends there (with a blank as its last letter), are entries of their own. Hits inside an exception phrase do not count.
 
 A text's score is a logistic function, fitted on the same rows, of the weight of its
 hits per 100 words and of the logarithm of that weight and of its length. Without
@@ -68,10 +69,10 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for phrase in self.exceptions:
-            found.add_word(f" {phrase}", (len(phrase) + 1, None))
+            found.add_word(f" {phrase}", (len(phrase) + 1, None, 0))
         for entry, w in self.weights.items():
             if f" {entry}" not in found:
-                found.add_word(f" {entry}", (len(entry) + 1, w))
+                found.add_word(f" {entry}", (len(entry) + 1, w, int(entry.endswith(" "))))
         found.make_automaton()
         return found
 
@@ -88,8 +89,8 @@ def hits(text: bytes, lexicon: Lexicon) -> tuple[float, int]:
     words = folded(text)
     total, spared = [], []
     if len(held[1]):
-        for end, (length, w) in held[1].iter(" " + " ".join(words)):
-            (spared if w is None else total).append((end - length + 1, end, w))
+        for end, (length, w, blank) in held[1].iter(" " + " ".join(words) + " "):
+            (spared if w is None else total).append((end - length + 1, end - blank, w))
     inside = lambda a: any(s[0] <= a[0] and a[1] <= s[1] for s in spared)
     return sum(t[2] for t in total if not (spared and inside(t))), len(words)
 
@@ -104,7 +105,7 @@ def beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"]):
-            seen[bool(toxic)].update({w[:n] for w in set(folded(text)) for n in LENGTHS if len(w) >= n})
+            seen[bool(toxic)].update({f"{w} "[:n] for w in set(folded(text)) if len(w) >= LENGTHS[0] for n in LENGTHS if len(w) + 1 >= n})
         if len(seen[0]) + len(seen[1]) > HELD:
             yield part()
             seen = Counter(), Counter()
@@ -123,16 +124,28 @@ def learned_lexicon(texts: DataFrame) -> dict[str, float]:
     good = counts.filter(F.col("toxic") >= MIN_TEXTS).withColumn("weight", odds).filter(F.col("weight") >= MIN_WEIGHT)
     rows = good.select("entry", "toxic", "weight").collect()  # of MAX_LABELS labels
     toxic, weight = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
-    children: dict[str, list[str]] = {}
+    return chosen(toxic, weight)
+
+
+def chosen(toxic: dict[str, int], weight: dict[str, float]) -> dict[str, float]:
+    """Of all good beginnings the entries; every good beginning has an entry as its beginning, or is parted into entries."""
+    nearest: dict[str, list[str]] = {}
+    todo: list[tuple[str, int]] = []
     for e in sorted(weight):
-        children.setdefault(e[:-1], []).append(e)
+        above = next((e[:n] for n in range(len(e) - 1, LENGTHS[0] - 1, -1) if e[:n] in weight), None)
+        if above is None:
+            todo.append((e, toxic[e]))  # with the count that its chain began with
+        else:
+            nearest.setdefault(above, []).append(e)
     out = {}
-    for e in sorted(weight, key=len):
-        if any(e[:n] in weight for n in range(LENGTHS[0], len(e))):
-            continue  # a shorter beginning speaks for it
-        while children.get(e) and toxic[longer := max(children[e], key=toxic.get)] >= KEEP * toxic[e]:
-            e = longer
-        out[e] = weight[e]
+    while todo:
+        e, first = todo.pop()
+        longer = [x for x in nearest.get(e, ()) if not x.endswith(" ")]  # a whole word alone would lose its other endings
+        main = max(longer, key=toxic.get, default=None)
+        if main is None or toxic[main] < KEEP * first:
+            out[e] = weight[e]
+        else:
+            todo += [(x, first if x == main else toxic[x]) for x in nearest[e]]
     return out
 
 
