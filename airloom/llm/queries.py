@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from airloom.llm import bpe, classifier, exact, language_model, lines, mixing, packing, rules, sharding, simhash, toxicity, whitening
+from airloom.llm import alignment, bpe, classifier, exact, language_model, lines, mixing, packing, rules, sharding, simhash, toxicity, whitening
 from airloom.session import configure
 
 
@@ -25,6 +25,7 @@ QUERIES = {name: _configured(module.query) for name, module in {
     "op8_importance_resampling": classifier,
     "op9_simhash_near_dedup": simhash,
     "op10_divergence_rules": rules,
+    "op11_token_alignment": alignment,
     "op12_trie_bpe": bpe,
     "op13_embedding_whitening": whitening,
 }.items()}
