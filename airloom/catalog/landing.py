@@ -13,10 +13,12 @@ from airloom.catalog.base import M, OM, query
 from airloom.catalog.charts import summary_report as report_query
 from airloom.catalog.ingest import RUN_TIME
 from airloom.catalog.rows import nested_record
+from airloom.catalog.statistics import CORRELATIONS, WIDE
 from airloom.plans import ingest as plan
 from airloom.plans import merge
 from airloom.session import scratch_path
 from airloom.sources import landed, store
+from airloom.sources.rollup import Rollup
 
 FLAT = ["location_id", "parameter_id", "parameter", "units", "value", "datetime_utc", "datetime_local", "datetime_to_utc", "sensor_id"]
 FLAT_SQL = """location_id, parameter_id, parameter, units, round(value + 1e-9, 6) AS value, datetime_utc::VARCHAR AS datetime_utc,
@@ -185,6 +187,43 @@ def two_loads(spark, sf_dir) -> store.MeasurementStore:
     return kept
 
 
+def two_rolled_up_loads(spark, sf_dir) -> Rollup:
+    """The two loads with their aggregates, and the second one once more."""
+    rows = silver(spark, sf_dir)
+    kept = new_store(spark, rows)
+    sums = Rollup(kept)
+    plan.ingest(kept, rows.where("datetime_utc < TIMESTAMP_NTZ '2024-01-16 00:00:00'"), "2024-01-16 00:00:00", ["seq"], with_stats=False, rollup=sums)
+    for _ in range(2):
+        plan.ingest(kept, rows.where("datetime_utc >= TIMESTAMP_NTZ '2024-01-15 00:00:00'"), RUN_TIME, ["seq"], with_stats=False, rollup=sums)
+    return sums
+
+
+@query("rolled_up_parameter_stats", "AGG-2 SNK-2", f"""
+WITH {INGEST_HIST} SELECT parameter, count(*) AS n, round(avg(value) + 1e-9, 6) AS mean, round(min(value) + 1e-9, 6) AS min, round(max(value) + 1e-9, 6) AS max,
+  round(stddev_samp(value) + 1e-9, 6) AS std FROM fk GROUP BY 1""")
+def rolled_up_parameter_stats(spark, sf_dir):
+    return two_rolled_up_loads(spark, sf_dir).parameter_stats()
+
+
+@query("rolled_up_daily_means", "AGG-6 STR-6", f"""
+WITH {INGEST_HIST} SELECT parameter, location_id, datetime_local::DATE::VARCHAR AS date, round(avg(value) + 1e-9, 6) AS mean, count(*) AS n FROM fk GROUP BY ALL""")
+def rolled_up_daily_means(spark, sf_dir):
+    return two_rolled_up_loads(spark, sf_dir).daily_means()
+
+
+@query("rolled_up_correlations", "AGG-18", f"""
+WITH {INGEST_HIST}, {WIDE.replace("FROM m", "FROM fk")} SELECT * FROM ({CORRELATIONS}) WHERE samples > 0""")
+def rolled_up_correlations(spark, sf_dir):
+    return two_rolled_up_loads(spark, sf_dir).pair_correlations()
+
+
+@query("rolled_up_locations", "AGG-23 AGG-31", f"""
+WITH {INGEST_HIST}, l AS (SELECT location_id, (datetime_utc >= TIMESTAMP '2024-01-16')::INT AS load FROM fk)
+SELECT location_id, count(*)::BIGINT AS total_records, count(DISTINCT load) AS runs FROM l GROUP BY 1""")
+def rolled_up_locations(spark, sf_dir):
+    return two_rolled_up_loads(spark, sf_dir).records_by_location()
+
+
 @query("store_after_two_loads", "SNK-2 STR-1 STR-2", f"WITH {INGEST_HIST} SELECT {ROWS_SQL} FROM fk")
 def store_after_two_loads(spark, sf_dir):
     return two_loads(spark, sf_dir).read().select(*ROWS)

@@ -94,7 +94,7 @@ _PAIRS = [
     ("pm25", "pm1"), ("pm25", "temperature"), ("relativehumidity", "temperature"),
     ("pm25", "relativehumidity"), ("pm1", "temperature"), ("pm1", "relativehumidity"),
 ]
-_CORR = " UNION ALL ".join(
+CORRELATIONS = " UNION ALL ".join(
     f"SELECT '{a}' AS parameter_x, '{b}' AS parameter_y, round(CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END + 1e-9, 6) AS correlation, "
     f"count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS samples FROM w"
     for a, b in _PAIRS
@@ -104,7 +104,7 @@ WIDE = "w AS (SELECT location_id, datetime_utc, " + ", ".join(
 ) + " FROM m GROUP BY location_id, datetime_utc)"
 
 
-@query("pair_correlations", "AGG-18 FLT-4", f"WITH {M}, {WIDE} SELECT * FROM ({_CORR}) WHERE samples > 0")
+@query("pair_correlations", "AGG-18 FLT-4", f"WITH {M}, {WIDE} SELECT * FROM ({CORRELATIONS}) WHERE samples > 0")
 def pair_correlations(spark, sf_dir):
     return aggregates.pair_correlations(base.measurements(spark, sf_dir))
 

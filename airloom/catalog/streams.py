@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from airloom import schema
 from airloom.catalog import base
-from airloom.catalog.base import M, query
+from airloom.catalog.base import A, M, query
 from airloom.catalog.landing import INGEST_HIST
 from airloom.catalog.rows import nested_record
 from airloom.plans.ingest import since_bookmark
@@ -14,6 +14,7 @@ from airloom.session import scratch_path
 from airloom.sources import landed
 from airloom.sources.store import MeasurementStore
 from airloom.streaming.daily import daily_means_stream, open_days, write_closed_days
+from airloom.streaming.daily_index import daily_index_stream, open_day_indices
 from airloom.streaming.ingest import read_records, stream_ingest, stream_records
 
 FILE_RECORDS = 4000
@@ -64,6 +65,25 @@ def streamed_daily_means(spark, sf_dir):
     return closed.withColumn("is_closed", F.lit(True)).unionByName(still_open.withColumn("is_closed", F.lit(False)))
 
 
+@query("streamed_daily_aqi", "STR-6 AGG-15 SCL-M4", f"""
+WITH {A}, e AS (SELECT max(datetime_local) AS latest FROM m)
+SELECT location_id, date::VARCHAR AS date, round(avg(aqi_overall) + 1e-9, 6) AS aqi, date + INTERVAL 1 DAY <= any_value(latest) - INTERVAL 1 DAY AS is_closed
+FROM (SELECT *, datetime_local::DATE AS date FROM a), e GROUP BY location_id, date""")
+def streamed_daily_aqi(spark, sf_dir):
+    """The store is loaded twice, and the stream goes on from its checkpoint after each load."""
+    m = base.measurements(spark, sf_dir)
+    kept = MeasurementStore(spark, scratch_path(spark, "store"), m.schema)
+    path, checkpoint = scratch_path(spark, "daily_aqi"), scratch_path(spark, "checkpoint")
+    first = F.col("datetime_utc") < F.lit("2024-01-16").cast("timestamp_ntz")
+    for load in (first, ~first):
+        kept.append(m.where(load))
+        days = daily_index_stream(kept.read_stream(), parameters=base.PARAMETERS)
+        write_closed_days(days, path, checkpoint).awaitTermination()
+    closed = spark.read.schema(days.schema).parquet(path).drop("n")
+    still_open = open_day_indices(kept.read(), closed, base.PARAMETERS)
+    return closed.withColumn("is_closed", F.lit(True)).unionByName(still_open.withColumn("is_closed", F.lit(False)))
+
+
 @query("late_sensor_records", "STR-3", f"""
 WITH {M}, b AS (SELECT location_id, parameter, max(datetime_to_utc) AS mark FROM m WHERE datetime_utc < TIMESTAMP '2024-01-16' GROUP BY 1, 2)
 SELECT seq, location_id, parameter FROM m LEFT JOIN b USING (location_id, parameter) WHERE mark IS NULL OR datetime_utc >= mark - INTERVAL 2 DAY""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions import aqi
@@ -28,15 +28,17 @@ def aqi_records(
     df: DataFrame,
     parameters: list[str] = PARAMETERS,
     pollutants: tuple[str, ...] = ("pm25", "o3"),
+    more_keys: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Wide table with an index per pollutant, their maximum and its category.
 
-    The ozone index counts only readings given in ppm.
+    The ozone index counts only readings given in ppm. ``more_keys`` group
+    beside place and time (the window of a stream).
     """
     usable = df.where(F.col("value").isNotNull())
     cells = [F.min_by("value", F.when(F.col("parameter") == p, F.col("seq"))).alias(p) for p in parameters]
     ppm = (F.col("parameter") == "o3") & (F.col("units") == "ppm")
-    wide = usable.groupBy(*PLACE_AND_TIME).agg(
+    wide = usable.groupBy(*PLACE_AND_TIME, *more_keys).agg(
         *cells, F.min_by("value", F.when(ppm, F.col("seq"))).alias("_o3_ppm")
     )
     by_pollutant = {

@@ -13,6 +13,7 @@ from airloom.operators.dedup import keep_first, not_in
 from airloom.operators.joins import null_safe_join, staged_join
 from airloom.session import stage
 from airloom.sources import landed
+from airloom.sources.rollup import Rollup
 from airloom.sources.store import PARTITIONS, MeasurementStore, with_month
 
 STATE_KEY = ["location_id", "parameter"]
@@ -127,7 +128,7 @@ def new_counts(new: DataFrame) -> DataFrame:
 
 def ingest(
     store: MeasurementStore, fetched: DataFrame, run_time: str, order: list[str],
-    keys: list[str] | None = None, with_stats: bool = True, configured: DataFrame | None = None,
+    keys: list[str] | None = None, with_stats: bool = True, configured: DataFrame | None = None, rollup: Rollup | None = None,
 ) -> DataFrame | None:
     """Append what is new, move the bookmarks, return statistics per location.
 
@@ -135,9 +136,13 @@ def ingest(
     marked with the run, and are counted there. Safe to run again with the
     same batch: the second run finds only duplicates. Rows with a
     ``reject_reason`` go to the store's quarantine and into the statistics,
-    which list the locations of the batch and those ``configured``.
+    which list the locations of the batch and those ``configured``. A
+    ``rollup`` gets the run's partial aggregates; what an earlier, crashed run
+    left out is added first.
     """
     keys = keys or schema.INGEST_KEY
+    if rollup:
+        rollup.catch_up()
     run = uuid.uuid4().hex
     fetched, failed = stage(fetched, "fetched"), []
     if "reject_reason" in fetched.columns:
@@ -146,7 +151,11 @@ def ingest(
         failed = [_count(bad, "rejected")]
     touched = touched_by(fetched)
     new = not_in(keep_first(fetched, keys, order), touched_history(store.read(), touched), keys)
+    if rollup:
+        rollup.begin(run)
     store.append(new.withColumn("ingest_run", F.lit(run)))
+    if rollup:
+        rollup.add(run, touched_history(store.read(), touched))
     added = stage(new_counts(touched_history(store.read(), touched).where(F.col("ingest_run") == run)), "new_counts")
     store.write_state(next_state(fetched, added, run_time))
     if not with_stats:

@@ -63,6 +63,13 @@ class MeasurementStore:
     def read(self) -> DataFrame:
         return read_or_empty(self.spark, self.data, self.row_type)
 
+    def read_stream(self, files_per_batch: int | None = None) -> DataFrame:
+        """Rows in the order their files were added; the store must have been written to before."""
+        reader = self.spark.readStream.schema(self.row_type)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.parquet(self.data)
+
     def location(self, location_id: int) -> DataFrame:
         """One location; other partitions are not listed for reading."""
         return self.read().where(F.col("location_id") == location_id)
@@ -73,6 +80,11 @@ class MeasurementStore:
         recent = F.col("event_month").isNull() | (F.col("event_month") >= moment[:7])
         return rows.where(recent & (F.col("datetime_utc") >= F.lit(moment).cast("timestamp_ntz")))
 
+    def partitions_of(self, run: str) -> DataFrame:
+        """All rows of the partitions that a load wrote to."""
+        own = stage(self.read().where(F.col("ingest_run") == run).select(*PARTITIONS).distinct(), "partitions_of_run")
+        return null_safe_join(self.read(), own, PARTITIONS, "left_semi")
+
     def append(self, new: DataFrame) -> None:
         """Add rows; columns that the store does not keep are left out."""
         kept = [c for c in self.row_type.fieldNames() if c in new.columns]

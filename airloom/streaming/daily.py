@@ -32,10 +32,10 @@ def open_days(records: DataFrame, closed: DataFrame) -> DataFrame:
     return not_in(days, closed, ["parameter", "location_id", "date"])
 
 
-def write_closed_days(means: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_closed_days(days: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append each day once, when the watermark has passed it."""
     return (
-        means.writeStream.outputMode("append").format("parquet")
+        days.writeStream.outputMode("append").format("parquet")
         .option("path", path).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
