@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from airloom import schema
 from airloom.catalog import base
+from airloom.catalog.alerts import CONTEXT, R, run_log
 from airloom.catalog.base import A, M, query
 from airloom.catalog.landing import INGEST_HIST
 from airloom.catalog.rows import nested_record
@@ -16,6 +17,7 @@ from airloom.sources.store import MeasurementStore
 from airloom.streaming.daily import daily_means_stream, open_days, write_closed_days
 from airloom.streaming.daily_index import daily_index_stream, open_day_indices
 from airloom.streaming.ingest import read_records, stream_ingest, stream_records
+from airloom.streaming.streaks import read_runs_stream, send_alerts, sent_alerts, streaks_stream
 
 FILE_RECORDS = 4000
 FILES_PER_BATCH = 10
@@ -94,3 +96,21 @@ def late_sensor_records(spark, sf_dir):
         F.max("datetime_to_utc").alias("last_fetch_time")
     )
     return since_bookmark(m, state, "2 days").select("seq", "location_id", "parameter")
+
+
+@query("streamed_streak_alerts", "WIN-3 ALR-1 ALR-2 ALR-4", f"""
+WITH {R} SELECT start_time::VARCHAR AS timestamp, CASE WHEN recovered THEN 'info' WHEN outcome = 'exception' THEN 'critical' ELSE 'error' END AS level,
+  CASE WHEN recovered THEN 'Pipeline Recovered' WHEN outcome = 'exception' THEN 'Pipeline Critical Failure' ELSE 'Pipeline Consecutive Failures' END AS title,
+  CASE WHEN recovered THEN 'Pipeline recovered from previous failures'
+    ELSE 'Pipeline has failed ' || streak || ' times' || CASE WHEN outcome = 'exception' THEN '' ELSE ' consecutively' END END AS message, {CONTEXT}
+FROM sk WHERE streak >= 3 OR recovered""")
+def streamed_streak_alerts(spark, sf_dir):
+    """Runs are logged in two loads; the counters go on from the checkpoint."""
+    log = run_log(spark, sf_dir).select("location_id", "run_id", "start_time", "outcome")
+    path, alerts, checkpoint = (scratch_path(spark, n) for n in ("runs", "alerts", "checkpoint"))
+    early = F.col("start_time") < F.lit("2024-01-12").cast("timestamp_ntz")
+    for load in (early, ~early):
+        log.where(load).write.mode("append").parquet(path)
+        streaks = streaks_stream(read_runs_stream(spark, path, log.schema), ["location_id"])
+        send_alerts(streaks, alerts, checkpoint).awaitTermination()
+    return sent_alerts(spark, alerts)

@@ -47,13 +47,16 @@ def last_runs(runs: DataFrame, keep: int = fixed.RUNS_KEPT) -> DataFrame:
 def failure_streaks(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Consecutive failures up to each run; a success sets them back to 0.
 
-    Needs ``start_time`` and ``outcome`` (success, failed, exception). ``by``
-    names the columns of independent run histories.
+    Needs ``run_id``, ``start_time`` and ``outcome`` (success, failed,
+    exception). ``by`` names the columns of independent run histories; runs that
+    start at the same time are ordered by id. Without ``by`` the log is one
+    history, which one task goes through.
     """
     failed = (F.col("outcome") != "success").cast("long")
-    history = Window.partitionBy(*by).orderBy("start_time")
+    order = ["start_time", "run_id"]
+    history = Window.partitionBy(*by).orderBy(*order)
     island = F.sum(1 - failed).over(history.rowsBetween(Window.unboundedPreceding, 0))
-    inside = Window.partitionBy(*by, "_island").orderBy("start_time").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         runs.withColumn("_island", island)
         .withColumn("streak", F.sum(failed).over(inside))
