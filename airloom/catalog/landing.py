@@ -17,7 +17,7 @@ from airloom.catalog.statistics import CORRELATIONS, WIDE
 from airloom.plans import ingest as plan
 from airloom.plans import merge
 from airloom.session import scratch_path
-from airloom.sources import landed, store
+from airloom.sources import landed, ranges, store
 from airloom.sources.rollup import Rollup
 
 FLAT = ["location_id", "parameter_id", "parameter", "units", "value", "datetime_utc", "datetime_local", "datetime_to_utc", "sensor_id"]
@@ -52,6 +52,13 @@ def landed_arrays(spark, sf_dir):
     return landed.accepted(landed.typed_records(records)).select(*FLAT)
 
 
+@query("landed_arrays_by_ranges", "SRC-1 SRC-6", f"WITH {M} SELECT {FLAT_SQL} FROM m")
+def landed_arrays_by_ranges(spark, sf_dir):
+    """The same files, each read by as many tasks as it has byte ranges."""
+    records = ranges.parse_records(ranges.array_records(spark, land_arrays(spark, sf_dir))).drop("text")
+    return landed.accepted(landed.typed_records(records)).select(*FLAT)
+
+
 @query("landed_arrays_typed_reader", "SRC-1", f"WITH {M} SELECT {FLAT_SQL} FROM m")
 def landed_arrays_typed_reader(spark, sf_dir):
     return landed.read_clean_arrays(spark, land_arrays(spark, sf_dir)).select(*FLAT)
