@@ -22,6 +22,19 @@ def ks_drift(spark, sf_dir):
     return drift.ks_statistic(base.measurements(spark, sf_dir), F.expr(SPLIT))
 
 
+@query("ks_test", "ML-3", f"""
+WITH {M}, s AS (SELECT parameter, value, {CURRENT} AS cur FROM m),
+n AS (SELECT parameter, count(*) FILTER (WHERE NOT cur)::DOUBLE AS nb, count(*) FILTER (WHERE cur)::DOUBLE AS nc FROM s GROUP BY 1),
+v AS (SELECT parameter, value, count(*) FILTER (WHERE NOT cur) AS b, count(*) FILTER (WHERE cur) AS c FROM s GROUP BY 1, 2),
+r AS (SELECT parameter, sum(b) OVER w AS sb, sum(c) OVER w AS sc FROM v WINDOW w AS (PARTITION BY parameter ORDER BY value)),
+d AS (SELECT parameter, nb, nc, max(abs(sb / nb - sc / nc)) AS ks FROM r JOIN n USING (parameter) GROUP BY 1, 2, 3),
+x AS (SELECT *, (sqrt(nb * nc / (nb + nc)) + 0.12 + 0.11 / sqrt(nb * nc / (nb + nc))) * ks AS x FROM d),
+p AS (SELECT *, CASE WHEN x < 0.25 THEN 1 ELSE least(greatest((SELECT sum(CASE WHEN j % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * j * j * x * x)) FROM range(1, 101) AS t(j)), 0), 1) END AS p FROM x)
+SELECT parameter, nb::BIGINT AS n_baseline, nc::BIGINT AS n_current, round(ks + 1e-9, 6) AS ks, round(p::DOUBLE + 1e-9, 6) AS p_value, p < 0.05 AS drifted FROM p""")
+def ks_test(spark, sf_dir):
+    return drift.ks_test(base.measurements(spark, sf_dir), F.expr(SPLIT))
+
+
 @query("population_stability", "ML-4", f"""
 WITH {M}, s AS (SELECT parameter, value, {CURRENT} AS cur FROM m),
 q AS (SELECT parameter, quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM s WHERE NOT cur GROUP BY 1),

@@ -9,7 +9,7 @@ from airloom.catalog import base
 from airloom.catalog.base import A, LM, M, NAMES, query
 from airloom.functions import calendar, reference_levels, text
 from airloom.functions import aqi as index
-from airloom.operators import aggregates, filters, joins, rolling, sampling
+from airloom.operators import aggregates, filters, intervals, joins, rolling, sampling
 from airloom.operators.pivot import aqi_records
 from airloom.sources import landed
 
@@ -267,3 +267,12 @@ WITH {M}, x AS (
 SELECT location_id, parameter, datetime_utc::VARCHAR AS datetime_utc, round(rolling_mean + 1e-9, 6) AS rolling_mean, readings FROM x""")
 def rolling_day_mean(spark, sf_dir):
     return rolling.rolling_mean(base.measurements(spark, sf_dir), ["location_id", "parameter"])
+
+
+@query("index_from_band_table", "JN-8 JN-3 SCL-M1 SCL-M3", f"""
+WITH {M} SELECT seq, parameter, round(value + 1e-9, 6) AS value,
+  CASE parameter WHEN 'pm25' THEN {base.pm25_sql('value')} WHEN 'o3' THEN {base.o3_sql('value')} END AS aqi FROM m""")
+def index_from_band_table(spark, sf_dir):
+    """The bands come from a table and are joined by cells; parameters without bands have no index."""
+    m = base.measurements(spark, sf_dir).select("seq", "parameter", "value")
+    return intervals.index_from_bands(m, intervals.index_bands(spark))

@@ -27,6 +27,35 @@ def ks_statistic(df: DataFrame, is_current: Column, keys: list[str] | None = Non
     )
 
 
+#: Terms of the Kolmogorov series; at the least argument it is used for, the last one is far below 1e-100.
+KS_TERMS = 100
+KS_LEAST = 0.25
+
+
+def kolmogorov(x: Column) -> Column:
+    """Probability of a value over ``x`` under the Kolmogorov distribution; below ``KS_LEAST`` it is 1 to seven digits."""
+
+    def with_term(total: Column, j: Column) -> Column:
+        return total + F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * x * x)
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0), with_term)
+    return F.when(x < KS_LEAST, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+
+
+def ks_test(df: DataFrame, is_current: Column, keys: list[str] | None = None, value: str = "value", alpha: float = 0.05) -> DataFrame:
+    """The distance with its p-value and whether the distributions differ at the level ``alpha``.
+
+    The effective size of the samples is n m / (n + m); an empty one has no
+    distance, no p-value and no verdict.
+    """
+    found = ks_statistic(df, is_current, keys, value)
+    n, m = F.col("n_baseline").cast("double"), F.col("n_current").cast("double")
+    root = F.sqrt(F.try_divide(n * m, n + m))
+    found = found.withColumn("_x", (root + 0.12 + F.try_divide(F.lit(0.11), root)) * F.col("ks"))
+    found = found.withColumn("p_value", F.when((n > 0) & (m > 0), kolmogorov(F.col("_x"))))
+    return found.drop("_x").withColumn("drifted", F.col("p_value") < alpha)
+
+
 def population_stability(
     df: DataFrame, is_current: Column, keys: list[str] | None = None, value: str = "value",
     buckets: int = 10, epsilon: float = 1e-6,
