@@ -6,12 +6,11 @@ and whether it repeats the word before. Two multinomial models over the
 buckets are counted: the target model from texts labelled good, at most ``MAX_LABELS``
 labelled rows (those with the least hash of their id), and the raw model
 from all rows. A text's ratio is the mean over its features of
-log p(target) - log p(raw), without the text's own counts; its log weight is
-that mean times its number of features, ``EFFECTIVE`` at most, so that a long
-text's errors do not add up.
+log p(target) - log p(raw), without the text's own counts.
 
 A ratio is accepted from the cut on that best parts the labelled rows (without
-bad labels: the least ratio of the good ones). With k accepted texts, the k
+bad labels: the least ratio of the good ones). The cut is the log of the prior odds a feature has to
+overcome: a text's log weight is the sum over its features of the log ratio less the cut, whatever their number. With k accepted texts, the k
 largest sums of log weight and Gumbel noise are kept; a text's noise comes from
 its id and content, so equal rows stay or go together, and rows that tie with
 the k-th stay. The k-th largest sum is found by counting, three times 2**16 bins.
@@ -38,10 +37,11 @@ WORD_BUCKETS = 2**14
 SHAPES = 32
 BUCKETS = WORD_BUCKETS + SHAPES * SHAPES
 SMOOTHING = 0.5
-EFFECTIVE = 128
 SEED = 42
 CACHE = 60_000
 STEPS = 2**20
+#: Sums of log weight and noise are placed on a scale that ends here; texts beyond either end tie.
+ENDS = 2.0**26
 
 
 class Features(dict):
@@ -167,23 +167,25 @@ def scores(keyed: DataFrame, labels: DataFrame, seed: int = SEED) -> tuple[DataF
     s = scorer(model)(bytes_of(), F.coalesce(F.col("__llm_quality") == 1, F.lit(False)))
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(2**52)) + 0.5) / float(2**52)
     rows = rows.select("doc_id", FILE, ROW, "__llm_quality", s.alias("s"), unit.alias("unit"))
-    rows = rows.select("doc_id", FILE, ROW, "__llm_quality", "s.ratio", "s.n_features", "unit").withColumns({
-        "log_weight": F.col("ratio") * F.least("n_features", F.lit(EFFECTIVE)), "noise": -F.log(-F.log("unit")),
-    })
-    place = F.floor((F.least(F.greatest(F.col("log_weight") + F.col("noise"), F.lit(-1e6)), F.lit(1e6)) + 1e6) * STEPS).cast("long")
-    rows = stage(rows.withColumn("place", place), "scores")
-
-    known = rows.filter(F.col("__llm_quality").isNotNull()).select("ratio", "__llm_quality").toPandas() if model[0].any() else None  # a row for each label of the sample and repeated id
+    rows = rows.select("doc_id", FILE, ROW, "__llm_quality", "s.ratio", "s.n_features", (-F.log(-F.log("unit"))).alias("noise"))
+    rows = stage(rows, "scores")
+
+    # One row for each labelled id, whatever the number of its rows.
+    known = rows.filter(F.col("__llm_quality").isNotNull()).groupBy("doc_id").agg(F.avg("ratio").alias("ratio"), F.max("__llm_quality").alias("quality"))
+    known = known.toPandas() if model[0].any() else None
+    cut = -np.inf if known is None else best_cut(known["ratio"].to_numpy(), known["quality"].to_numpy() == 1)
+    rows = rows.withColumn("log_weight", (F.col("ratio") - F.lit(float(cut) if np.isfinite(cut) else 0.0)) * F.col("n_features"))
+    total = F.least(F.greatest(F.col("log_weight") + F.col("noise"), F.lit(-ENDS)), F.lit(ENDS))
+    rows = rows.withColumn("place", F.floor((total + ENDS) * STEPS).cast("long"))
     if known is None:
         return rows, 0
-    cut = best_cut(known["ratio"].to_numpy(), known["__llm_quality"].to_numpy() == 1)
-    k = rows.filter(F.col("ratio") >= cut).count()
+    k = rows.filter(F.col("ratio") >= float(cut)).count()
     return rows, kth_largest(rows, k) if k else 2**62
 
 
 def select(keyed: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
     rows, least = scores(keyed, labels, seed)
-    return rows.withColumn("kept", F.col("place") >= least).drop("__llm_quality", "unit", "place")
+    return rows.withColumn("kept", F.col("place") >= least).drop("__llm_quality", "place")
 
 
 def drop_rejected(df: DataFrame, labels: DataFrame) -> DataFrame:

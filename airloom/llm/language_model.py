@@ -146,20 +146,20 @@ def merge_contexts(folder: str, owners: int):
         small, large = narrow(c[order])
         first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
         kinds = [np.add.reduceat((c == i).astype(np.uint32) if i < 3 else (c >= 3).astype(np.uint32), first) for i in (1, 2, 3)]
-        for name, array in (("keys", keys[order]), ("counts", small), ("large", large), ("contexts", u[first]),
+        for name, array in (("keys", keys[order]), ("counts", small), ("large", large), ("full", np.flatnonzero(small == 255)), ("contexts", u[first]),
                             ("totals", np.add.reduceat(c, first)), ("kinds", np.column_stack(kinds))):
             save(folder, f"{o:05d}-{name}", array)
         words, inverse, n = np.unique(v, return_inverse=True, return_counts=True)
         uses = np.bincount(inverse, c, len(words)).astype(np.int64)
         cuts = np.searchsorted(owner_of(words, owners), np.arange(owners + 1))
         stats = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-        out = []
+        out, sizes = [], [len(keys), len(first), len(large)]
         for p in range(owners):
             own = slice(cuts[p], cuts[p + 1])
             if own.stop > own.start:
-                out.append((p, packed([words[own], n[own].astype(np.uint32), *narrow(uses[own])]), *stats))
-                stats = [0, 0, 0, 0]
-        return pd.DataFrame(out, columns=["owner", "blob", "n1", "n2", "n3", "n4"])
+                out.append((p, packed([words[own], n[own].astype(np.uint32), *narrow(uses[own])]), *stats, o, *sizes))
+                stats, sizes = [0, 0, 0, 0], [0, 0, 0]
+        return pd.DataFrame(out, columns=["owner", "blob", "n1", "n2", "n3", "n4", "sender", "pairs", "contexts", "large"])
 
     return run
 
@@ -176,11 +176,17 @@ def merge_words(folder: str):
         for name, array in (("words", words), ("types", types), ("uses", uses)):
             save(folder, f"{o:05d}-{name}", array)
         m = [int((types == i).sum()) for i in (1, 2, 3, 4)]
-        return pd.DataFrame([(*(int(pdf[f"n{i}"].sum()) for i in (1, 2, 3, 4)), *m, len(words), int(types.sum()), int(uses.sum()))], columns=STATS)
+        sums = (*(int(pdf[f"n{i}"].sum()) for i in (1, 2, 3, 4)), *m, len(words), int(types.sum()), int(uses.sum()))
+        # a row with the sums and this owner's tokens, and one for each sender that told its sizes here
+        told = pdf[pdf["pairs"] > 0]
+        rows = [(*sums, o, 0, 0, 0, len(words))]
+        rows += [(*[0] * len(STATS), *r, 0) for r in zip(told["sender"].tolist(), told["pairs"].tolist(), told["contexts"].tolist(), told["large"].tolist())]
+        return pd.DataFrame(rows, columns=[*STATS, "owner", *SIZES])
 
     return run
 
 
+SIZES = ["pairs", "contexts", "large", "words"]
 STATS = ["n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "vocabulary", "types", "tokens"]
 
 
@@ -192,6 +198,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 _MAPPED: dict[str, list] = {}
+#: Which number of a model's sizes says how long an array is.
+SIZE_OF = {
+    "keys": "pairs", "counts": "pairs", "large": "large", "full": "large", "contexts": "contexts", "totals": "contexts", "kinds": "contexts",
+    "words": "words", "types": "words", "uses": "words",
+}
 
 
 @dataclass(frozen=True)
@@ -199,15 +210,29 @@ class Model:
     folder: str
     owners: int
     stats: dict[str, int] = field(hash=False)
+    #: Entries of each owner's pair, context and token arrays; an owner that is not listed has none.
+    sizes: dict[str, dict[int, int]] = field(hash=False)
 
     def arrays(self, name: str) -> list:
-        """The owners' arrays of a name, memory-mapped; None where an owner has nothing."""
+        """The owners' arrays of a name, memory-mapped; None where an owner has nothing.
+
+        A file that should be there and is not, or has another length, is an error: without it scores would be wrong.
+        """
         at = f"{self.folder}/{name}"
         if at not in _MAPPED:
-            paths = [f"{self.folder}/{o:05d}-{name}.npy" for o in range(self.owners)]
-            _MAPPED[at] = [np.load(p, mmap_mode="r") if os.path.exists(p) else None for p in paths]
+            _MAPPED[at] = [self._array(name, o) for o in range(self.owners)]
         return _MAPPED[at]
 
+    def _array(self, name: str, owner: int) -> np.ndarray | None:
+        size = self.sizes[SIZE_OF[name]].get(owner)
+        if not size:
+            return None
+        path = f"{self.folder}/{owner:05d}-{name}.npy"
+        found = np.load(path, mmap_mode="r")  # a missing file raises
+        if len(found) != size:
+            raise OSError(f"{path} has {len(found)} entries in place of {size}")
+        return found
+
     def find(self, name: str, wanted: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice, np.ndarray]]]:
         """Which of the sorted values are there, and by owner where."""
         cuts = np.searchsorted(owner_of(wanted, self.owners), np.arange(self.owners + 1))
@@ -239,9 +264,7 @@ class Model:
         for o, own, place in found[1]:
             big = np.flatnonzero(out[own] == 255)
             if len(big):  # the n-th full byte belongs to the n-th large count
-                counts = self.arrays("counts")[o]
-                full = np.flatnonzero(np.asarray(counts) == 255)
-                out[own.start + big] = np.asarray(self.arrays("large")[o])[np.searchsorted(full, place[big])]
+                out[own.start + big] = self.arrays("large")[o][np.searchsorted(self.arrays("full")[o], place[big])]
         return out
 
     def logs(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,11 +329,13 @@ def fit(df: DataFrame, folder: str | None = None, owners: int | None = None) ->
     owners = owners or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2**15)
     folder = local_folder(spark, folder)
     pairs = df.select(bytes_of().alias("text")).mapInPandas(count_pairs(owners), "owner int, blob binary")
-    told = "owner int, blob binary, n1 long, n2 long, n3 long, n4 long"
+    told = "owner int, blob binary, n1 long, n2 long, n3 long, n4 long, sender int, pairs long, contexts long, large long"
     words = pairs.groupBy("owner").applyInPandas(merge_contexts(folder, owners), told)
-    sums = words.groupBy("owner").applyInPandas(merge_words(folder), ", ".join(f"{c} long" for c in STATS))
-    found = stage(sums, "sums").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS]).first()
-    return Model(folder, owners, found.asDict())
+    told = ", ".join(f"{c} long" for c in STATS) + ", owner int, " + ", ".join(f"{c} long" for c in SIZES)
+    sums = stage(words.groupBy("owner").applyInPandas(merge_words(folder), told), "sums")
+    found = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS]).first()
+    sizes = sums.groupBy("owner").agg(*[F.sum(c).alias(c) for c in SIZES]).collect()  # a row for each owner
+    return Model(folder, owners, found.asDict(), {c: {r["owner"]: r[c] for r in sizes if r[c]} for c in SIZES})
 
 
 def scored(df: DataFrame, model: Model) -> DataFrame:

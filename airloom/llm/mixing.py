@@ -61,15 +61,20 @@ def order_key(seed: int, epoch: Column) -> Column:
 
 
 def share_out(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
-    """Water-filling: adds ``share``, for nodes with ``weight`` and ``capacity``, below the parent's budget."""
-    order = F.col("capacity") / F.col("weight")
+    """Water-filling: adds ``share``, for nodes with ``weight`` and ``capacity``, below the parent's budget.
+
+    A node of weight 0 gets nothing and its siblings share the budget; where all siblings
+    have weight 0 the budget is not used.
+    """
+    nodes = nodes.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0))
+    order = F.coalesce(F.try_divide(F.col("capacity"), F.col("weight")), F.lit(0.0))  # the excluded come first and take nothing
     before = Window.partitionBy(*parent).orderBy(order, "name").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parent)
     out = nodes.withColumns({
         "__llm_below": F.coalesce(F.sum("capacity").over(before), F.lit(0)),
         "__llm_left": F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
         "__llm_budget": budget,
-    }).withColumn("__llm_level", (F.col("__llm_budget") - F.col("__llm_below")) / F.col("__llm_left"))
+    }).withColumn("__llm_level", F.try_divide(F.col("__llm_budget") - F.col("__llm_below"), F.col("__llm_left")))
     fits = F.when(F.col("__llm_level") <= order, F.col("__llm_level"))
     level = F.max(fits).over(whole)  # the first child that does not fill up has the highest level of those
     return out.withColumn("__llm_water", level).withColumn(
@@ -82,12 +87,13 @@ def plan(sizes: DataFrame, total: Column, domain_weights=None, lang_weights=None
     """One row for each leaf (with ``size``): ``budget``, whole ``epochs`` and the tokens ``rest`` of the next one."""
     leaves = sizes.withColumn("capacity", F.col("size") * max_epochs)
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
+    langs = langs.withColumns({"weight": weight("lang", lang_weights or LANG_WEIGHTS), "name": F.col("lang")})
+    langs = langs.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0))  # an excluded one holds nothing
     domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
 
     domains = domains.withColumns({"weight": weight("domain", domain_weights or DOMAIN_WEIGHTS), "name": F.col("domain"), "all": F.lit(1)})
     domains = share_out(domains, ["all"], total).select("domain", F.col("share").alias("above"))
-    langs = langs.join(domains, "domain").withColumns({"weight": weight("lang", lang_weights or LANG_WEIGHTS), "name": F.col("lang")})
-    langs = share_out(langs, ["domain"], F.col("above")).select("domain", "lang", F.col("share").alias("above"))
+    langs = share_out(langs.join(domains, "domain"), ["domain"], F.col("above")).select("domain", "lang", F.col("share").alias("above"))
     leaves = leaves.join(langs, ["domain", "lang"]).withColumns({"weight": F.lit(1.0), "name": F.col("source")})
     leaves = share_out(leaves, ["domain", "lang"], F.col("above"))
     budget = F.floor(F.col("share") + EDGE).cast("long")

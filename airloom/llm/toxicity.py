@@ -179,10 +179,12 @@ def scored(df: DataFrame, labels: DataFrame, training: Column, exceptions: tuple
     """Adds ``score``, ``hit_weight`` and ``n_words``; learns from labelled rows where ``training`` holds."""
     prepare_workers(df.sparkSession)
     sample = stage(labelled_sample(labels.filter(training), "toxic", MAX_LABELS), "labelled").withColumnRenamed("toxic", "__llm_toxic")
-    texts = df.join(F.broadcast(sample), "doc_id").select(bytes_of().alias("text"), (F.col("__llm_toxic") == 1).alias("toxic"))
+    texts = df.join(F.broadcast(sample), "doc_id").select("doc_id", bytes_of().alias("text"), (F.col("__llm_toxic") == 1).alias("toxic"))
     lexicon = Lexicon(learned_lexicon(texts), exceptions)
     weigh = weigher(lexicon)
-    known = texts.select("toxic", weigh("text").alias("w")).select("toxic", "w.weight", "w.words").toPandas() if lexicon.weights else None  # MAX_LABELS and repeated ids
+    known = texts.select("doc_id", "toxic", weigh("text").alias("w")).groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"), F.avg("w.weight").alias("weight"), F.avg("w.words").alias("words"))  # one row for each labelled id
+    known = known.toPandas() if lexicon.weights else None
     out = df.withColumn("__llm_w", weigh(bytes_of()))
     out = out.withColumns({"hit_weight": F.col("__llm_w.weight"), "n_words": F.col("__llm_w.words")}).drop("__llm_w")
     if known is None:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from airloom.llm import classifier, exact, language_model, lines, mixing, packing, rules, sharding, simhash
 from airloom.llm.common import FILE, ROW, stage, with_row_key
@@ -30,6 +31,8 @@ def odd(spark):
     folder = scratch_path(spark, "odd")
     spark.createDataFrame(ODD, SCHEMA).coalesce(2).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (1, 1, 1), (4, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    vectors = [(1, [0.1, 0.2]), (1, [0.1, 0.2]), (None, [0.3, -0.5]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 0.0]), (5, []), (6, [1.0]), (7, [2.0, 7.5])]
+    spark.createDataFrame([(i, v, "x", 1.0) for i, v in vectors], "vec_id long, embedding array<float>, n string, whitened double").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -40,6 +43,7 @@ def empty(spark):
     folder = scratch_path(spark, "empty")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
@@ -51,7 +55,9 @@ def docs(spark):
 @pytest.mark.parametrize("name", QUERIES)
 def test_odd_rows(spark, odd, name):
     found = QUERIES[name](spark, odd).collect()
-    if not name.startswith(("op1_", "op5_")):
+    if name.startswith("op13_"):
+        assert len(found) == 8  # four vectors are left, of two components each
+    elif not name.startswith(("op1_", "op5_")):
         assert len(found) == len(ODD)
 
 
@@ -174,6 +180,23 @@ def test_language_model_sums_to_one(spark, docs):
         assert abs(np.sum(10**logs) - 1) < 1e-9
 
 
+@pytest.mark.parametrize("harm", ["gone", "short"])
+def test_language_model_with_a_missing_file_raises(spark, docs, harm):
+    """A worker that does not see the model must fail, not score."""
+    import glob
+    import os
+
+    model = language_model.fit(docs.limit(60).select("text"), owners=3)
+    path = sorted(glob.glob(f"{model.folder}/*-keys.npy"))[1]
+    if harm == "gone":
+        os.replace(path, f"{path}.away")
+    else:
+        np.save(path, np.load(path)[:-1])
+    words = language_model.tokens([b"the cat sat on it"])
+    with pytest.raises(OSError):
+        model.logs(words[0], words[1])
+
+
 def test_language_model_beats_its_base(spark):
     rows = [r for r in QUERIES["op6_kneser_ney"](spark, SF).collect()]
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -219,6 +242,24 @@ def test_shares_fill_siblings_first(spark):
     assert found == {"a": 10, "b": 390, "c": 300}  # the sibling takes what is short, not the other domain
 
 
+@pytest.mark.parametrize("domains, langs, want", [
+    ({"web": 0.0, "books": 3.0}, {"en": 1.0, "de": 1.0}, {"a": 0, "b": 0, "c": 300}),  # the sibling takes it
+    ({"web": 4.0, "books": 3.0}, {"en": 0.0, "de": 1.0}, {"a": 0, "b": 400, "c": 0}),  # books has English alone: nothing there
+    ({"web": 0.0, "books": 0.0}, {"en": 1.0, "de": 1.0}, {"a": 0, "b": 0, "c": 0}),
+])
+def test_weight_zero_excludes(spark, domains, langs, want):
+    sizes = spark.createDataFrame(
+        [("web", "en", "a", 10, 1), ("web", "de", "b", 1000, 1), ("books", "en", "c", 300, 1)], "domain string, lang string, source string, size long, n_rows long")
+    found = {r.source: r.budget for r in mixing.plan(sizes, F.lit(700.0 if domains["web"] == 0 else 400.0), domains, langs, 1).collect()}
+    assert found == want
+
+
+def test_excluded_sources_have_no_rows(spark, docs):
+    names = {mixing.DOMAINS[zlib.crc32(f"src{i}".encode()) % 4]: f"src{i}" for i in range(20)}
+    out = mixing.mix(docs, domain_weights={"web": 0.0, "books": 1.0, "news": 1.0, "forum": 1.0}).select("domain").distinct().collect()
+    assert names and {r.domain for r in out} <= {"books", "news", "forum"}
+
+
 def test_lines_keep_their_order(spark):
     rows = [(i, f"own {i}\n Shared \nlast {i}") for i in range(12)] + [(99, "shared\n\nSHARED\nx")]
     found = {r.doc_id: r.kept_text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
