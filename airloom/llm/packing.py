@@ -19,6 +19,7 @@ as rows of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,24 +35,24 @@ from airloom.llm.common import bytes_of, documents, prepare_workers, stage
 CAPACITY = 2048
 SMALL = 64
 END = 1
-GENERATION = 150_000
+GENERATION = 300_000
 
 
 class TokenCache(dict):
     """Ids (little-endian, 4 bytes each) of chunks without ASCII white space, for the chunks seen lately.
 
-    The tokenizer splits at white space and lower-cases, so a text's ids are those
-    of its chunks in a row. ASCII chunks are held in lower case. Others keep their case, as
-    characters are composed before they are lower-cased. A text with a special token's
+    The tokenizer composes characters, lower-cases and splits at white space, so a text's ids are those
+    of its chunks in a row. Chunks are held with A-Z in lower case. That changes nothing where neither the
+    text nor its lower-cased form has characters to compose; other texts keep their case. A text with a special token's
     literal, in any case, is not cut into chunks. A point or comma after a letter is a token
     of its own. Chunks that are new in a batch go to the tokenizer together. Of the
     chunks seen, two generations are kept; one in use passes to the younger.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = GENERATION):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.generation = Tokenizer.from_file(path), generation
         self.literals = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.older: dict[bytes, bytes] = {}
 
@@ -60,13 +61,15 @@ class TokenCache(dict):
         return array("I", self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def chunks(self, text: bytes, low: bytes) -> list[bytes]:
-        parts = low.split()
-        return parts if text.isascii() else [a if a.isascii() else b for a, b in zip(parts, text.split())]
+        if text.isascii():
+            return low.split()
+        composed = all(unicodedata.is_normalized("NFC", t.decode("utf-8", "replace")) for t in (text, low))
+        return (low if composed else text).split()
 
     def learn(self, texts: list[list[bytes]]) -> None:
         chunks = set().union(*texts)
         new = chunks.difference(self)
-        if len(self) + len(new) > GENERATION:
+        if len(self) + len(new) > self.generation:
             self.older = dict(self)
             self.clear()
             new = chunks
@@ -82,11 +85,11 @@ class TokenCache(dict):
 _CACHES: dict[str, TokenCache] = {}
 
 
-def token_bytes(texts: list[bytes], path: str) -> list[bytes]:
-    """The ids of texts, each with its end, 4 bytes an id."""
+def token_bytes(texts: list[bytes], path: str, generation: int = GENERATION) -> list[bytes]:
+    """The ids of texts, each with its end, 4 bytes an id. ``generation``: chunks remembered at a time, which only saves work."""
     if path not in _CACHES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker for every core
-        _CACHES[path] = TokenCache(path)
+        _CACHES[path] = TokenCache(path, generation)
     cache, end = _CACHES[path], END.to_bytes(4, "little")
     lower = [t.lower() for t in texts]
     chunks = [None if any(x in low for x in cache.literals) else cache.chunks(t, low) for t, low in zip(texts, lower)]
@@ -106,13 +109,13 @@ def cut(n: int, capacity: int = CAPACITY, small: int = SMALL) -> list[int]:
     return out + [rest] * (rest > 0)
 
 
-def cutter(path: str, capacity: int, small: int, with_ids: bool, schema: pa.Schema):
+def cutter(path: str, capacity: int, small: int, with_ids: bool, schema: pa.Schema, generation: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
         worker = TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), token_bytes(batch["text"].to_pylist(), path)):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), token_bytes(batch["text"].to_pylist(), path, generation)):
                 n, start = len(ids) // 4, 0
                 for length in cut(n, capacity, small):
                     own = ids[4 * start:4 * (start + length)]
@@ -148,7 +151,7 @@ def first_fit(capacity: int):
     return run
 
 
-def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, small: int = SMALL, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, small: int = SMALL, with_ids: bool = False, generation: int = GENERATION) -> DataFrame:
     """Pieces of all rows: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and ``ids`` on request."""
     spark = df.sparkSession
     prepare_workers(spark)
@@ -159,7 +162,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, small: int = S
         ("doc_id", _arrow_type(df)), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
         ("worker", pa.int32()), ("at", pa.int64()), *([("ids", pa.binary())] if with_ids else []),
     ])
-    pieces = stage(df.select("doc_id", bytes_of().alias("text")).mapInArrow(cutter(tokenizer, capacity, small, with_ids, arrow), told), "pieces")
+    pieces = stage(df.select("doc_id", bytes_of().alias("text")).mapInArrow(cutter(tokenizer, capacity, small, with_ids, arrow, generation), told), "pieces")
 
     before = Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("length")

@@ -20,7 +20,6 @@ def frame(spark, rows):
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
