@@ -35,7 +35,7 @@ from airloom.llm.common import bytes_of, documents, prepare_workers, stage
 CAPACITY = 2048
 SMALL = 64
 END = 1
-GENERATION = 300_000
+GENERATION = 800_000
 
 
 class TokenCache(dict):
