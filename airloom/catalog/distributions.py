@@ -80,6 +80,30 @@ def violin_density(spark, sf_dir):
     return distribution.violin_density(base.measurements(spark, sf_dir))
 
 
+def binned_violin_sql(table: str, keep: int) -> str:
+    return f"""
+{calendar_sql(table, keep)},
+g AS (SELECT parameter, unit, time_period, count(*) AS n, min(value) AS lo, max(value) AS hi,
+  stddev_samp(value) * pow(count(*), -0.2) AS bw FROM pr GROUP BY 1, 2, 3 HAVING stddev_samp(value) > 0),
+gp AS (SELECT g.*, p AS point, lo - 2 * bw + (hi - lo + 4 * bw) / 99 * p AS x FROM g, range(0, 100) t(p)),
+pl AS (SELECT parameter, unit, time_period, (value - lo) / bw * 16 AS place FROM pr JOIN g USING (parameter, unit, time_period)),
+bn AS (SELECT parameter, unit, time_period, floor(place) AS bin, count(*) AS copies, sum(place - floor(place)) AS to_next FROM pl GROUP BY 1, 2, 3, 4)
+SELECT parameter, unit, time_period, n, round(any_value(bw) + 1e-9, 6) AS bandwidth, point, round(any_value(x) + 1e-9, 6) AS x,
+  round(sum((copies - to_next) * exp(-0.5::DOUBLE * pow((x - lo) / bw - bin / 16, 2)) + to_next * exp(-0.5::DOUBLE * pow((x - lo) / bw - (bin + 1) / 16, 2)))
+    / (n * any_value(bw) * sqrt(2 * pi())) + 1e-9, 6) AS density
+FROM bn JOIN gp USING (parameter, unit, time_period) GROUP BY parameter, unit, time_period, n, point"""
+
+
+@query("binned_violin_density", "AGG-21 CH-7", f"WITH {M}, {binned_violin_sql('m', 20)}")
+def binned_violin_density(spark, sf_dir):
+    return distribution.binned_density(base.measurements(spark, sf_dir))
+
+
+@query("line_price_density", "AGG-21", f"WITH {LM}, {binned_violin_sql('lm', 10**6)}")
+def line_price_density(spark, sf_dir):
+    return distribution.binned_density(base.line_readings(spark, sf_dir))
+
+
 @query("line_price_quantiles", "AGG-20 AGG-2", f"""
 WITH {LM} SELECT parameter, round(quantile_cont(value, 0.05) + 1e-9, 6) AS p05, round(quantile_cont(value, 0.25) + 1e-9, 6) AS p25,
   round(quantile_cont(value, 0.5) + 1e-9, 6) AS p50, round(quantile_cont(value, 0.99) + 1e-9, 6) AS p99 FROM lm GROUP BY 1""")

@@ -15,6 +15,9 @@ from airloom.session import stage
 
 PERIOD = ["parameter", "unit", "time_period"]
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+#: Bins a bandwidth, and the bandwidths beyond which the kernel (under 3e-16) is left out.
+DENSITY_BINS = 16
+KERNEL_REACH = 8.5
 
 
 def histogram(df: DataFrame, keys: list[str], value: str = "value", bins: int = fixed.HISTOGRAM_BINS) -> DataFrame:
@@ -120,3 +123,64 @@ def violin_density(df: DataFrame, keep: int | None = None, points: int = fixed.D
     return sums.join(grid, "_group").select(
         *PERIOD, "n", "bandwidth", "point", F.expr("_start + _step * point").alias("x"), (F.col("_sum") / area).alias("density")
     )
+
+
+def binned_density_error(bandwidth: float, bins: int = DENSITY_BINS) -> float:
+    """How far ``binned_density`` is at most from the density of the values themselves, at any point.
+
+    Linear interpolation of a kernel over bins of width d is off by at most d * d / 8 times its largest second derivative.
+    """
+    return 1 / (8 * bins**2 * bandwidth * math.sqrt(2 * math.pi))
+
+
+def density_bins(rows: DataFrame, grid: DataFrame, bins: int = DENSITY_BINS) -> DataFrame:
+    """One row for each occupied bin of a group: ``copies`` and ``to_next``, the part of them that the bin's upper end takes."""
+    placed = null_safe_join(rows, grid, PERIOD).selectExpr(
+        "_group", "bandwidth", "_start", "_step", "_lo", f"(value - _lo) / bandwidth * {bins}D AS _at"
+    )
+    return placed.groupBy("_group", "bandwidth", "_start", "_step", "_lo", F.floor("_at").alias("bin")).agg(
+        F.count(F.lit(1)).alias("copies"), F.sum(F.col("_at") - F.floor("_at")).alias("to_next")
+    )
+
+
+def binned_density(df: DataFrame, keep: int | None = None, points: int = fixed.DENSITY_POINTS, bins: int = DENSITY_BINS) -> DataFrame:
+    """The curves of ``violin_density`` from linear bins: the cost after one pass over the rows is bins, not values.
+
+    Each value is shared by the two ends of its bin, a part of the bandwidth wide, and a bin meets the grid points within
+    the kernel's reach only. A group of R bandwidths has some R * bins bins, each of which meets 17 * points / R points, so
+    no group makes more than about 17 * bins * points rows. Nulls, NaN and infinite values are left out; groups without spread have no curve.
+    """
+    rows = with_periods(df.where("abs(value) < double('Infinity')"), keep).select(*PERIOD, "value")
+    groups = (
+        rows.groupBy(*PERIOD)
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min("value").alias("_lo"), F.max("value").alias("_hi"),
+            (F.stddev_samp("value") * F.pow(F.count(F.lit(1)), F.lit(-0.2))).alias("bandwidth"),
+        )
+        .where("bandwidth > 0")
+    )
+    cut = fixed.DENSITY_CUT
+    grid = groups.selectExpr(
+        *PERIOD, "n", "bandwidth", "_lo", f"_lo - {cut}D * bandwidth AS _start",
+        f"(_hi - _lo + {2 * cut}D * bandwidth) / {points - 1} AS _step", "monotonically_increasing_id() AS _group",
+    )
+    grid = stage(grid, "density_grid")  # numbers the groups once and for all
+    low = F.expr(f"_lo + bandwidth / {bins}D * bin")
+    first = F.expr(f"int(greatest(0, ceil((_low - {KERNEL_REACH}D * bandwidth - _start) / _step)))")
+    last = F.expr(f"int(least({points - 1}, floor((_high + {KERNEL_REACH}D * bandwidth - _start) / _step)))")
+    met = (
+        density_bins(rows, grid, bins)
+        .withColumn("_low", low).withColumn("_high", F.expr(f"_low + bandwidth / {bins}D"))
+        .withColumns({"_first": first, "_last": last})
+        .where("_first <= _last")  # a bin between two points that are far apart meets neither
+        .withColumn("point", F.explode(F.sequence("_first", "_last")))
+        .withColumn("_x", F.expr("_start + _step * point"))
+        .withColumns({"_to_low": F.expr("(_x - _low) / bandwidth"), "_to_high": F.expr("(_x - _high) / bandwidth")})
+    )
+    share = F.expr("(copies - to_next) * exp(_to_low * _to_low * -0.5D) + to_next * exp(_to_high * _to_high * -0.5D)")
+    sums = met.groupBy("_group", "point").agg(F.sum(share).alias("_sum"))
+    frame = grid.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    area = F.col("n") * F.col("bandwidth") * math.sqrt(2 * math.pi)
+    return frame.join(sums, ["_group", "point"], "left").select(
+        *PERIOD, "n", "bandwidth", "point", F.expr("_start + _step * point").alias("x"), (F.coalesce("_sum", F.lit(0.0)) / area).alias("density")
+    )

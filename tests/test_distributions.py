@@ -120,6 +120,45 @@ def test_density_integrates_to_one_and_skips_flat_groups(spark):
         assert np.trapezoid(g.density, g.x) == pytest.approx(1, abs=0.06)
 
 
+def curves_of(spark, groups: dict[str, list]):
+    rows = [(p, v) for p, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "parameter string, value double").selectExpr("*", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS datetime_local")
+    exact = distribution.violin_density(df.where("abs(value) < double('Infinity')")).toPandas()
+    return exact, distribution.binned_density(df).toPandas(), df
+
+
+def test_binned_density_stays_within_its_bound(spark):
+    rng = np.random.default_rng(5)
+    groups = {
+        "even": list(rng.normal(20, 3, 3000)), "tail": [*rng.normal(0, 1, 3000), 1e4], "ties": [1.0] * 900 + [2.0] * 90 + [5.0],
+        "two": [1.0, 2.0], "odd": [3.0, 4.0, 4.5, None, float("nan"), float("inf"), -float("inf")], "flat": [7.0] * 5, "one": [1.0], "none": [None],
+    }
+    exact, binned, _ = curves_of(spark, {p: [None if v is None else float(v) for v in vs] for p, vs in groups.items()})
+    both = exact.merge(binned, on=["parameter", "unit", "time_period", "point"], suffixes=("", "_b"))
+    assert len(both) == len(exact) == len(binned) == 100 * 5
+    assert set(binned.parameter) == {"even", "tail", "ties", "two", "odd"}
+    bound = both.bandwidth.map(distribution.binned_density_error)
+    assert ((both.density - both.density_b).abs() <= bound).all()
+    assert (both.n == both.n_b).all() and np.allclose(both.x, both.x_b)
+
+
+def test_binned_density_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "parameter string, value double, datetime_local timestamp_ntz")
+    assert distribution.binned_density(df).count() == 0
+
+
+@pytest.mark.parametrize("n", [2000, 40_000])
+def test_density_bins_do_not_grow_with_the_rows(spark, n):
+    """Twenty times the rows narrow the bandwidth by 20 ** 0.2 and widen no range: bins follow that, not the rows."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame(pd.DataFrame({"value": rng.random(n)})).selectExpr("'p' AS parameter", "'day' AS unit", "'d' AS time_period", "value")
+    width = float(np.std(rng.random(n)) * n**-0.2)
+    grid = spark.createDataFrame([("p", "day", "d", 0, width, 0.0, 0.0, 0.01)], "parameter string, unit string, time_period string, _group long, bandwidth double, _lo double, _start double, _step double")
+    bins = distribution.density_bins(rows, grid).toPandas()
+    assert len(bins) <= distribution.DENSITY_BINS / width + 1
+    assert bins.copies.sum() == n and ((0 <= bins.to_next) & (bins.to_next < bins.copies)).all()
+
+
 def test_rolling_mean_matches_brute_force(spark):
     df = readings(spark, 4, 9)
     got = {r.datetime_utc: (r.rolling_mean, r.readings) for r in rolling.rolling_mean(df, ["location_id"], hours=24).collect()}
