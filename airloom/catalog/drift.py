@@ -59,6 +59,21 @@ def retrain_triggers(spark, sf_dir):
     return drift.error_drift(drift.previous_day_forecast(daily), factor=1.2)
 
 
+@query("error_changes", "ML-5", f"""
+WITH {M}, d AS (SELECT location_id, datetime_local::DATE AS date, avg(value) AS v FROM m WHERE parameter = 'pm25' GROUP BY 1, 2),
+e AS (SELECT a.location_id, a.date, a.v AS actual, b.v AS prediction, abs(b.v - a.v) AS error FROM d a JOIN d b ON a.location_id = b.location_id AND a.date = b.date + 1),
+a AS (SELECT *, avg(error) OVER (PARTITION BY location_id ORDER BY date) AS mean FROM e),
+s AS (SELECT *, sum(error - 1.1::DOUBLE * mean) OVER (PARTITION BY location_id ORDER BY date) AS total FROM a),
+x AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY location_id ORDER BY date)) AS excess FROM s),
+c AS (SELECT *, excess > 1.5::DOUBLE * mean AS changed, max(CASE WHEN excess = 0 THEN date END) OVER (PARTITION BY location_id ORDER BY date) AS since FROM x),
+l AS (SELECT *, max(CASE WHEN changed THEN date END) OVER (PARTITION BY location_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM c)
+SELECT location_id, date::VARCHAR AS date, round(actual + 1e-9, 6) AS actual, round(prediction + 1e-9, 6) AS prediction, round(error + 1e-9, 6) AS error,
+  round(mean + 1e-9, 6) AS mean_error, round(excess + 1e-9, 6) AS excess, changed, since::VARCHAR AS since, changed AND coalesce(last < since, TRUE) AS alarm FROM l""")
+def error_changes(spark, sf_dir):
+    daily = aggregates.daily_means(base.measurements(spark, sf_dir).where("parameter = 'pm25'")).drop("parameter")
+    return drift.error_changes(drift.previous_day_forecast(daily))
+
+
 @query("feature_table", "ML-2 WIN-7 PRJ-2", f"""
 WITH {M}, p AS (SELECT location_id, datetime_utc, datetime_local, arg_min(value, seq) FILTER (WHERE parameter = 'pm25') AS pm25,
   arg_min(value, seq) FILTER (WHERE parameter = 'temperature') AS temperature, arg_min(value, seq) FILTER (WHERE parameter = 'relativehumidity') AS relativehumidity

@@ -98,6 +98,31 @@ def error_drift(daily: DataFrame, days: int = 7, factor: float = 1.5) -> DataFra
     )
 
 
+def error_changes(daily: DataFrame, slack: float = 0.1, threshold: float = 1.5) -> DataFrame:
+    """Page-Hinkley test for a lasting rise of the error, from (location_id, date, prediction, actual) rows, one a location and day.
+
+    Each day adds its error less ``1 + slack`` times the location's mean error so far. ``excess`` is that running sum less its least
+    value up to the day (0 at the start), so it falls back to 0 when the error is as low as before: this is the reset.
+    ``since`` is the last day without excess, the estimate of the change point. A day is ``changed`` when the excess is over
+    ``threshold`` times the mean error, and the first such day after a reset is the ``alarm``: one for each change.
+    A day without an error adds nothing and raises none, though what came before stays. All windows share one order, so there is one
+    exchange, of one row a location and day.
+    """
+    order = Window.partitionBy("location_id").orderBy("date")
+    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = daily.withColumn("error", F.abs(F.col("prediction") - F.col("actual")))
+    rows = rows.withColumn("mean_error", F.avg("error").over(up_to))
+    rows = rows.withColumn("_sum", F.coalesce(F.sum(F.col("error") - (1 + slack) * F.col("mean_error")).over(up_to), F.lit(0.0)))
+    rows = rows.withColumn("excess", F.col("_sum") - F.least(F.lit(0.0), F.min("_sum").over(up_to)))
+    over = F.coalesce(F.col("error").isNotNull() & (F.col("excess") > threshold * F.col("mean_error")), F.lit(False))
+    rows = rows.withColumn("changed", over).withColumn("since", F.max(F.when(F.col("excess") == 0, F.col("date"))).over(up_to))
+    last = F.max(F.when(F.col("changed"), F.col("date"))).over(before)
+    rows = rows.withColumn("_last", last)
+    first = F.col("_last").isNull() | F.coalesce(F.col("_last") < F.col("since"), F.lit(False))
+    return rows.withColumn("alarm", F.col("changed") & first).drop("_sum", "_last")
+
+
 def previous_day_forecast(daily: DataFrame) -> DataFrame:
     """Baseline forecast: a day's mean is the mean of the day before."""
     before = daily.select("location_id", F.date_add("date", 1).alias("date"), F.col("mean").alias("prediction"))
