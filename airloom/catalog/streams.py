@@ -16,7 +16,7 @@ from airloom.sources import landed
 from airloom.sources.store import MeasurementStore
 from airloom.streaming.daily import daily_means_stream, open_days, write_closed_days
 from airloom.streaming.daily_index import daily_index_stream, open_day_indices
-from airloom.streaming.ingest import read_records, stream_ingest, stream_records
+from airloom.streaming.ingest import backlog_share, read_records, stream_ingest, stream_records
 from airloom.streaming.streaks import read_runs_stream, send_alerts, sent_alerts, streaks_stream
 
 FILE_RECORDS = 4000
@@ -34,21 +34,26 @@ def land_lines(spark, sf_dir) -> str:
     return path
 
 
+def streamed_store(spark, sf_dir) -> MeasurementStore:
+    """The landed lines, loaded by the stream in several batches."""
+    lines = land_lines(spark, sf_dir)
+    records = stream_records(spark, lines, backlog_share(spark, lines, FILES_PER_BATCH))
+    kept = MeasurementStore(spark, scratch_path(spark, "store"), records.schema)
+    stream_ingest(records, kept, scratch_path(spark, "checkpoint")).awaitTermination()
+    return kept
+
+
 @query("streamed_ingest", "STR-1 STR-2 STR-7", f"""
 WITH {INGEST_HIST} SELECT location_id, parameter_id, sensor_id, datetime_utc::VARCHAR AS datetime_utc, datetime_to_utc::VARCHAR AS datetime_to_utc FROM hk""")
 def streamed_ingest(spark, sf_dir):
-    records = stream_records(spark, land_lines(spark, sf_dir), FILES_PER_BATCH)
-    kept = MeasurementStore(spark, scratch_path(spark, "store"), records.schema)
-    stream_ingest(records, kept, scratch_path(spark, "checkpoint")).awaitTermination()
+    kept = streamed_store(spark, sf_dir)
     return kept.read().select(*schema.INGEST_KEY)
 
 
 @query("streamed_state", "STR-1 SNK-4", f"""
 WITH {INGEST_HIST} SELECT location_id, parameter, max(datetime_to_utc)::VARCHAR AS last_fetch_time FROM bk GROUP BY 1, 2""")
 def streamed_state(spark, sf_dir):
-    records = stream_records(spark, land_lines(spark, sf_dir), FILES_PER_BATCH)
-    kept = MeasurementStore(spark, scratch_path(spark, "store"), records.schema)
-    stream_ingest(records, kept, scratch_path(spark, "checkpoint")).awaitTermination()
+    kept = streamed_store(spark, sf_dir)
     return kept.read_state().select("location_id", "parameter", "last_fetch_time")
 
 

@@ -17,6 +17,8 @@ from airloom.sources.store import MeasurementStore
 
 #: Order in which lines arrived: files by time, blocks of a file, lines of a block.
 ARRIVAL = ["landed_at", "source_file", "file_block", "line"]
+#: Batches that a backlog is cut into at most; each reads the keys of the history that it may collide with.
+BACKLOG_BATCHES = 12
 _LINE = T.StructType([*schema.RAW_RECORD.fields, T.StructField("_corrupt", T.StringType())])
 
 
@@ -28,6 +30,16 @@ def stream_records(spark: SparkSession, path: str, files_per_batch: int | None =
     return _measured(reader.json(path))
 
 
+def backlog_share(spark: SparkSession, path: str, least: int) -> int:
+    """Files to take per batch: ``least``, or more where the files landed so far would make over ``BACKLOG_BATCHES`` batches.
+
+    A batch costs some jobs and a look at the history before it, so a number of batches that grew with
+    the backlog would make the load grow with its square.
+    """
+    landed = len(spark.read.text(path).inputFiles())
+    return max(least, -(-landed // BACKLOG_BATCHES))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The same lines, those landed so far, as a batch."""
     return _measured(spark.read.schema(_LINE).option("columnNameOfCorruptRecord", "_corrupt").json(path))

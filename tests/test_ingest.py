@@ -8,7 +8,8 @@ from airloom import schema
 from airloom.operators import dedup
 from airloom.plans import ingest, merge, runs
 from airloom.sources import landed, store
-from airloom.streaming.ingest import stream_ingest, stream_records
+from airloom.streaming import ingest as streaming
+from airloom.streaming.ingest import backlog_share, stream_ingest, stream_records
 
 
 def record(value=25.3, pid=2, name="pm25", hour=12, place=101, sensor=9001, **extra):
@@ -278,6 +279,18 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, folder, files_per_bat
     assert got == want and len(got) == 9
 
 
+def test_a_backlog_makes_a_bounded_number_of_batches(spark, folder, monkeypatch):
+    monkeypatch.setattr(streaming, "BACKLOG_BATCHES", 3)
+    for i in range(8):
+        write(folder, f"page{i}.json", "\n".join(json.dumps(record(hour=h)) for h in (i, i + 1)))
+    assert [backlog_share(spark, folder, n) for n in (1, 3, 5)] == [3, 3, 5]
+    records = stream_records(spark, folder, backlog_share(spark, folder, 1))
+    kept = store.MeasurementStore(spark, f"{folder}_store", records.schema)
+    stream_ingest(records, kept, f"{folder}_checkpoint").awaitTermination()
+    assert kept.read().count() == 9
+    assert store.latest_version(spark, f"{kept.root}/state") == 3  # one a batch
+
+
 def test_overwrite_replaces_all_months_of_its_locations(spark, folder):
     rows = flat_rows(spark, [1, 2]).unionByName(flat_rows(spark, [1, 2], place=2))
     old = rows.withColumn("datetime_utc", F.expr("datetime_utc - INTERVAL 2 YEARS"))
