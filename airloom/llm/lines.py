@@ -12,8 +12,7 @@ A key is known by two 64-bit hashes. Each row sends every distinct key once,
 and counts are combined before the shuffle, so a line in a third of all rows
 costs one row for each task. Only lines' hashes and positions are shuffled to
 the common keys, in a join that AQE can split where a key is hot. The positions to drop are written out
-and come back to the texts: as a broadcast where their written size is below the session's threshold, so that no text
-moves; above it texts and positions meet in a shuffle.
+and meet the texts in a merge join, at every size: they grow with the texts, so each text is shuffled once.
 """
 
 from __future__ import annotations
@@ -39,7 +38,7 @@ def dedup_lines(df: DataFrame, min_documents: int = 10, min_chars: int = 1) -> D
     common = stage(common.filter(F.col("n") >= min_documents).select("h1", "h2"), "common_lines")
 
     dropped = keys.join(common, ["h1", "h2"], "left_semi").groupBy(FILE, ROW).agg(F.collect_list("position").alias("__llm_dropped"))
-    out = rows.join(stage(dropped, "dropped_positions"), [FILE, ROW], "left").withColumn("__llm_lines", F.split(text_of(), "\n"))
+    out = rows.join(stage(dropped, "dropped_positions").hint("merge"), [FILE, ROW], "left").withColumn("__llm_lines", F.split(text_of(), "\n"))
     n = F.size("__llm_lines")
     gone = F.coalesce("__llm_dropped", F.array().cast("array<int>"))
     out = out.withColumns({

@@ -266,6 +266,15 @@ def test_lines_keep_their_order(spark):
     assert found[3] == "own 3\nlast 3" and found[99] == "\nx"
 
 
+def test_lines_meet_their_texts_alike_at_every_size(spark):
+    """A broadcast for few dropped lines and a shuffle for many would be two plans."""
+    rows = [(i, f"common\nown {i}") for i in range(12)]
+    kept = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert {r.kept_text for r in kept.collect()} == {f"own {i}" for i in range(12)}
+
+
 def test_keys_tell_rows_apart(spark, odd):
     keyed = with_row_key(spark.read.parquet(f"{odd}/documents.parquet"))
     assert keyed.select(FILE, ROW).distinct().count() == len(ODD)
