@@ -1,13 +1,14 @@
-"""Near copies by the similarity of word shingles: MinHash bands for candidates, exact Jaccard similarity for the verdict.
+"""Near copies by the similarity of word shingles: SimHash groups and MinHash bands for candidates, exact Jaccard similarity for the verdict.
 
 A text is lower-cased (A-Z) and cut into words; its set holds the XXH64 of each distinct
 shingle of ``SHINGLE`` words (fewer words: the whole sequence is the only shingle).
 Two texts are linked if the Jaccard similarity of their sets is ``SIMILARITY`` or more. Groups are
 the connected components of the links. Equal sets are one node from the start.
 
-Candidates share one of ``BANDS`` keys, each made of ``ROWS`` least hashes. A pair at exactly 0.8
-shares none with a probability of (1 - 0.8**5)**32, 3 in a million, and more similar pairs less often; that is
-the only way to lose a link. Fingerprints of 64 bits are no use here: such pairs differ in some ten bits.
+Candidates lie in one SimHash group (``simhash.groups``: fingerprints, blocks, Hamming distance, components), or share one of
+``BANDS`` keys, each made of ``ROWS`` least hashes. Fingerprints of 64 bits find the closest copies only, as pairs at 0.8
+differ in some ten bits; such a pair shares no key with a probability of (1 - 0.8**5)**32, 3 in a million, and more similar pairs
+less often. That is the only way to lose a link.
 
 Texts that share keys, over any number of steps, are a circle; links lie inside circles. Sets are made again for texts in
 circles, and each circle's sets are brought together in one task, so a set is sent once, however many keys it shares. Circles of more than ``CELL``
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airloom.llm import simhash
 from airloom.llm.common import FILE, ROW, bytes_of, prepare_workers, stage, with_row_key
 from airloom.llm.simhash import components
 
@@ -196,6 +198,13 @@ def _in_cells(members: DataFrame) -> DataFrame:
     return dealt.select("key", F.least("own", "with").alias("cell"), F.greatest("own", "with").alias("other"), "node")
 
 
+def _fingerprint_keys(keyed: DataFrame, narrow: DataFrame) -> DataFrame:
+    """``node, band, key`` of the nodes in SimHash groups of several rows: a group is a key, taken in the first round."""
+    alike = stage(simhash.groups(keyed).filter("group_size > 1").select(FILE, ROW, "root"), "simhash_groups")
+    key = F.xxhash64(F.lit("simhash"), "root")
+    return narrow.join(alike, [FILE, ROW]).select("node", F.lit(0).alias("band"), key.alias("key"))
+
+
 def _circles(met: DataFrame) -> DataFrame:
     """``node, circle, size`` of all nodes that share a key (with ``least``, the key's least node) with another one."""
     found = components(met.select(F.col("node").alias("u"), F.col("least").alias("v")))
@@ -235,7 +244,7 @@ def groups(keyed: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILAR
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", FILE, ROW)
     nodes = stage(narrow.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "nodes")
 
-    keys = narrow.select("node", F.posexplode("keys").alias("band", "key"))
+    keys = narrow.select("node", F.posexplode("keys").alias("band", "key")).union(_fingerprint_keys(keyed, narrow))
     met = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most").drop("most")
     met = stage(keys.join(stage(met, "shared_keys"), "key").distinct(), "met")
     # Nodes that are joined by shared keys, over any number of steps; links lie inside these circles.

@@ -146,7 +146,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def groups(keyed: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One narrow row for every row with a key: ``doc_id, fp, component_id, kept``; one row of each component is kept."""
+    """One narrow row for every row with a key: ``doc_id, fp, root, component_id, group_size, kept``; one row of each component is kept.
+
+    ``root`` is the component's least fingerprint.
+    """
     prepare_workers(keyed.sparkSession)
     narrow = stage(keyed.select("doc_id", FILE, ROW, simhash(bytes_of()).alias("fp")), "simhash")
     # A small key first: ids that are there before missing ones, then ids, then places.
@@ -166,7 +169,7 @@ def groups(keyed: DataFrame, distance: int = DISTANCE) -> DataFrame:
     named = stage(named.select("fp", "root").join(first, "root"), "named")
     out = narrow.join(named, "fp")
     return out.select(
-        "doc_id", FILE, ROW, "fp", F.col("first.doc_id").alias("component_id"), "group_size",
+        "doc_id", FILE, ROW, "fp", "root", F.col("first.doc_id").alias("component_id"), "group_size",
         ((F.col(FILE) == F.col(f"first.{FILE}")) & (F.col(ROW) == F.col(f"first.{ROW}"))).alias("kept"),
     )
 

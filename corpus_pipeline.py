@@ -25,7 +25,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near.drop_near_copies(docs).select(COLUMNS)  # 64 bits cannot tell a similarity of 0.8, so the stage is MinHash with an exact check
+    return near.drop_near_copies(docs).select(COLUMNS)  # SimHash groups are checked exactly; MinHash adds what 64 bits cannot tell at a similarity of 0.8
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality_classifier", quality),
     ("exact_dedup", exact_dedup),
-    ("minhash_near_dedup", near_dedup),
+    ("simhash_minhash_near_dedup", near_dedup),
     ("mix_to_weights", mixing_stage),
     ("harmonic_packing", packing_stage),
 ]

@@ -6,10 +6,11 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airloom.llm import near
-from airloom.llm.common import stage
+from airloom.llm import near, simhash
+from airloom.llm.common import stage, with_row_key
 
 
 def shingles(text):
@@ -52,6 +53,28 @@ def test_stage_beside_all_pairs(spark, monkeypatch, cell):
     assert len(found) < len(rows) - 40
 
 
+@pytest.mark.parametrize("cell", [near.CELL, 2])
+def test_fingerprints_bring_candidates_and_similarity_decides(spark, monkeypatch, cell):
+    """Without MinHash keys, SimHash alone brings texts together; groups that are not similar stay apart."""
+    monkeypatch.setattr(near, "CELL", cell)
+    sketcher = near.sketcher
+
+    def without_keys(shingle):
+        return lambda text: F.struct(sketcher(shingle)(text)["node"].alias("node"), F.array().cast("array<long>").alias("keys"))
+
+    monkeypatch.setattr(near, "sketcher", without_keys)
+    words = [f"w{i}" for i in range(2000)]
+    changed = [*words[:1000], "other", *words[1001:]]
+    much = ["same", "few", "words"] * 400  # one fingerprint, but no similarity of the distinct shingles
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(changed).upper()), (4, None)]
+    rows += [(10 + i, " ".join([*much, *(f"own{i}x{j}" for j in range(20))])) for i in range(3)]
+    frame = stage(spark.createDataFrame(rows, "doc_id long, text string"), "near")
+    fps = {r[0]: simhash.fingerprint_of((r[1] or "").encode()) for r in rows}
+    assert (fps[1] ^ fps[2]).bit_count() <= 2 and (fps[10] ^ fps[11]).bit_count() <= 2
+    found = near.groups(with_row_key(frame)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 1, 4: 4, 10: 10, 11: 11, 12: 12}
+
+
 def test_spanning_forest_of_similar_sets():
     rng = np.random.default_rng(7)
     base = [rng.integers(0, 2**63, 100, dtype=np.uint64) for _ in range(4)]
