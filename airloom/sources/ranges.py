@@ -1,15 +1,15 @@
 """Large JSON arrays, read by byte ranges: many tasks share one file.
 
 The text reader cuts a file into ranges and each range into segments that begin
-at an opening brace. Whether a segment begins inside a text, and how deep, depends on all before
-it; but what it does to either state is known from the segment alone:
+at an opening brace; the segments of a range are put together in chunks of bounded size. Whether a chunk begins
+inside a text, and how deep, depends on all before it; but what it does to either state is known from the chunk alone:
 
 * texts: it keeps the state, turns it round, or ends in a state of its own (a raw line end closes any text, as JSON has none in texts);
 * depth: it adds a number for each of the two states it may begin in.
 
-These steps compose, so a range is summed up in one row. The rows of a file, one a range, are put
-together in order, and each range then knows the state it begins in. A record begins at a brace outside
-texts at depth 1. Records inside a range are put together there; only pieces at its borders are brought together.
+These steps compose, so a chunk is summed up in one row and so is a range. The rows of a file, one a range, are put
+together in order, and each range, then each of its chunks, knows the state it begins in. A record begins at a brace outside
+texts at depth 1. Records inside a chunk are cut out there; only pieces at its borders are brought together.
 
 Where the array is indented, a brace that stands after a comma and just as far to the right as the first record's always begins
 a record. That sets the state right again after a broken one: an open text or a missing brace costs its own record
@@ -18,6 +18,8 @@ only. In an array without line ends a missing brace costs the rest of the file.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,134 +28,254 @@ from airloom.session import stage
 from airloom.sources.landed import NOT_ARRAY
 
 RANGE = ["source_file", "block"]
+CHUNK = [*RANGE, "chunk"]
+CHUNK_BYTES = 2**18
+# The rest of a text and its end: a quote, or a line end, which is left where it stands. An escape never takes a segment's brace along.
+_TEXT_END = rb'(?:[^"\\\n]++|\\(?:[^{]|(?=\{)))*+(?:"|(?=\n))'
+
+
+def _joiner(limit: int):
+    """Segments in the reader's order, put together in chunks."""
+
+    def join(batches):
+        import pyarrow as pa
+
+        white = b" \t\n\x0b\f\r"
+        indented = re.compile(rb"\n[ \t]+(?:\r\n|\r|\n)?\Z")
+
+        def indent(segment):
+            """White space after the last comma or bracket, where it holds a line end and an indent."""
+            body = segment.rstrip(white)
+            space = segment[len(body):]
+            return space.decode() if body[-1:] in (b"[", b",") and indented.search(space) else None
 
+        def row(key, number, parts):
+            begins_file = key[1] == 0 and number == 0
+            # the brace in front of a segment was left out, but for the one in front of the file
+            text = b"{".join(parts) if begins_file else b"{" + b"{".join(parts)
+            is_array = parts[0].translate(None, white) == b"[" if begins_file else None
+            return *key, number, text, indent(parts[-1]), is_array, indent(parts[0]) if begins_file else None
 
-def _outside(text: Column) -> tuple[Column, Column]:
-    """Change of depth and whether a text is open at the end, for escape-free text that begins outside texts."""
-    bare = F.regexp_replace(text, '"[^"\\n]*["\\n]', " ")
-    body = F.substring_index(bare, '"', 1)
-    return F.regexp_count(body, F.lit(r"\[")) - F.regexp_count(body, F.lit(r"[\]}]")), F.contains(bare, F.lit('"'))
+        def table(rows):
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.string()]
+            names = [*CHUNK, "text", "indent", "is_array", "record_indent"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+        key, number, parts, size = (None, None), 0, [], 0
+        for batch in batches:
+            rows = []
+            for file, block, segment in zip(*(c.to_pylist() for c in batch.columns)):
+                if size >= limit or block != key[1] or file != key[0]:
+                    if parts:
+                        rows.append(row(key, number, parts))
+                    number = number + 1 if key == (file, block) else 0
+                    key, parts, size = (file, block), [], 0
+                parts.append(segment)
+                size += len(segment) + 1
+            if rows:
+                yield table(rows)
+        if parts:
+            yield table([row(key, number, parts)])
 
-def read_segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Text from one opening brace (left out) to the next, with its place and what it does to the state; written once, as ranges depend on settings."""
-    lines = spark.read.option("lineSep", "{").text(path).select(
+    return join
+
+
+def read_chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Text from one opening brace to before another, with its place; written once, as ranges depend on settings.
+
+    The first chunk of a file also tells whether the file begins with an array, and the indent of its records.
+    """
+    segments = spark.read.option("lineSep", "{").text(path).select(
         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"),
-    )
-    clean = lines.withColumn("_clean", F.regexp_replace("text", r"(?s)\\.", ""))
-    closes = F.col("_clean").rlike('["\\n]')
-    clean = clean.withColumn("_rest", F.when(closes, F.regexp_replace("_clean", '^[^"\\n]*["\\n]', "")))
-    (out_depth, out_open), (in_depth, in_open) = _outside(F.col("_clean")), _outside(F.col("_rest"))
-    tail = F.regexp_extract("text", r"[\[,](\s*)$", 1)
-    segments = clean.select(
-        *RANGE, "line", "text", out_depth.alias("out_depth"), out_open.alias("out_open"),
-        F.coalesce(in_depth, F.lit(0)).alias("in_depth"), F.coalesce(in_open, F.lit(True)).alias("in_open"),
-        # white space after the last comma or bracket, where it holds a line end and an indent
-        F.when(tail.rlike(r"\n[ \t]+$"), tail).alias("indent"),
+        F.col("value").cast("binary").alias("text"),
     )
-    return stage(segments, "segments")
+    told = "source_file string, block long, chunk long, text binary, indent string, is_array boolean, record_indent string"
+    return stage(segments.mapInArrow(_joiner(CHUNK_BYTES), told), "chunks")
 
 
-def files_of(segments: DataFrame) -> DataFrame:
-    """One row per file: where it begins, whether with an array, and the indent of its records."""
-    first = F.min_by(F.struct("line", "text", "indent"), "line")
-    head = segments.where("block = 0").groupBy("source_file").agg(first.alias("first"))
-    return head.select(
-        "source_file", F.col("first.line").alias("first_line"), F.col("first.indent").alias("record_indent"),
-        (F.regexp_replace("first.text", r"\s", "") == "[").alias("is_array"),
-    )
+def files_of(chunks: DataFrame) -> DataFrame:
+    """One row per file: whether it begins with an array, and the indent of its records."""
+    return chunks.where("block = 0 AND chunk = 0").select("source_file", "record_indent", "is_array")
+
+
+def _effects():
+    """Chunks to what they do to the state: see ``chunk_effects``."""
+
+    def effects(batches):
+        import pyarrow as pa
+
+        text_end = re.compile(_TEXT_END)
+        whole = re.compile(rb'\\[^{]|"' + _TEXT_END)
+
+        def effect(text, inside):
+            """Change of depth and whether a text is open at the end."""
+            if inside:
+                end = text_end.match(text)
+                if not end:
+                    return 0, True
+                text = text[end.end():]
+            body, quote, _ = whole.sub(b"", text).partition(b'"')
+            return body.count(b"{") + body.count(b"[") - body.count(b"}") - body.count(b"]"), bool(quote)
+
+        for batch in batches:
+            found = []
+            for text, indent in zip(batch.column("text").to_pylist(), batch.column("record_indent").to_pylist()):
+                marks = [] if indent is None else [text.rfind(c + indent.encode() + b"{") for c in (b",", b"[")]
+                if max(marks, default=-1) >= 0:  # what stands before the last reset has no effect
+                    depth, still_open = effect(text[max(marks) + 1 + len(indent):], False)
+                    found.append((0, still_open, 0, still_open, 1 + depth))
+                else:
+                    found.append((*effect(text, False), *effect(text, True), None))
+            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
+            columns = [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)]
+            kept = [*CHUNK, "indent", "record_indent"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in kept] + columns, [*kept, "out_depth", "out_open", "in_depth", "in_open", "set_depth"])
+
+    return effects
+
+
+def chunk_effects(chunks: DataFrame) -> DataFrame:
+    """For each chunk the change of depth and whether a text is open at its end, both where it begins outside texts (``out_``) and inside one
+    (``in_``), and the depth at its end where that does not depend on its beginning (``set_depth``)."""
+    told = "source_file string, block long, chunk long, indent string, record_indent string, out_depth long, out_open boolean, in_depth long, in_open boolean, set_depth long"
+    return chunks.select(*CHUNK, "text", "indent", "record_indent").mapInArrow(_effects(), told)
+
 
+def _begin(state: Column, e: Column) -> tuple[Column, Column, Column]:
+    """(reset, inside, depth) that an entry begins in, after the state that the one before it ended in."""
+    reset = F.coalesce(state["indent"] == e["record_indent"], F.lit(False))
+    return reset, ~reset & state["inside"], F.when(reset, F.lit(1)).otherwise(state["depth"]).cast("long")
 
-def _states(segments: DataFrame) -> DataFrame:
-    """Adds, for each segment, its state relative to the range: ``inside_0`` and ``inside_1`` by the range's own, ``depth_0`` and
-    ``depth_1`` as sums so far, and ``from_0``, the sum at the last reset (NULL: none yet)."""
-    order = Window.partitionBy(*RANGE).orderBy("line")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    up_to = order.rowsBetween(Window.unboundedPreceding, 0)
-    reset = F.coalesce(F.lag("indent").over(order) == F.col("record_indent"), F.lit(False))
-    rows = segments.withColumn("reset", reset)
-    own = F.col("reset") | (F.col("out_open") == F.col("in_open"))  # ends in a state of its own
-    turns = (~own & F.col("out_open")).cast("long")
-    rows = rows.withColumn("_turns", F.coalesce(F.sum(turns).over(before), F.lit(0)))
-    fixed = F.last(F.when(own, F.struct(F.col("out_open").alias("open"), (F.col("_turns") + turns).alias("turns"))), ignorenulls=True).over(before)
-    rows = rows.withColumn("_fixed", fixed)
-    odd = (F.col("_turns") - F.coalesce("_fixed.turns", F.lit(0))) % 2 == 1
-    for begin in (0, 1):
-        since = F.coalesce("_fixed.open", F.lit(bool(begin)))
-        inside = ~F.col("reset") & (since != odd)
-        step = F.when(inside, F.col("in_depth")).otherwise(F.col("out_depth") + F.when(F.col("line") == F.col("first_line"), 0).otherwise(1))
-        rows = rows.withColumn(f"inside_{begin}", inside).withColumn(f"_step_{begin}", step)
-        rows = rows.withColumn(f"depth_{begin}", F.coalesce(F.sum(f"_step_{begin}").over(before), F.lit(0)))
-    return rows.withColumn("from_0", F.last(F.when(F.col("reset"), F.col("depth_0")), ignorenulls=True).over(up_to))
-
-
-def range_starts(segments: DataFrame) -> DataFrame:
-    """The state each range begins in, from one row per range: ``source_file, block, begins_inside, begins_depth, begins_record``."""
-    end = F.max_by(
-        F.struct(
-            *[(F.when(F.col(f"inside_{i}"), F.col("in_open")).otherwise(F.col("out_open"))).alias(f"inside_{i}") for i in (0, 1)],
-            *[(F.col(f"depth_{i}") + F.col(f"_step_{i}")).alias(f"depth_{i}") for i in (0, 1)],
-            "from_0", "indent", "record_indent",
-        ), "line")
-    ends = _states(segments).groupBy(*RANGE).agg(end.alias("end")).select(*RANGE, "end.*")
-    entry = F.struct("block", *[c for c in ends.columns if c not in RANGE])
-    listed = ends.groupBy("source_file").agg(F.array_sort(F.collect_list(entry)).alias("_ends"))  # a row a range: a terabyte has some eight thousand
-
-    nothing = F.array().cast("array<struct<block: bigint, begins_inside: boolean, begins_depth: bigint, begins_record: boolean>>")
-    start = F.struct(
-        F.lit(False).alias("inside"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("indent"), nothing.alias("found"),
+
+def _end(inside: Column, depth: Column, e: Column) -> list[Column]:
+    ends = F.when(inside, e["in_open"]).otherwise(e["out_open"])
+    return [
+        ends.alias("inside"),
+        F.coalesce(e["set_depth"], depth + F.when(inside, e["in_depth"]).otherwise(e["out_depth"])).alias("depth"), e["indent"].alias("indent"),
+    ]
+
+
+def _state(inside: Column, depth: Column) -> list[Column]:
+    return [inside.alias("inside"), depth.cast("long").alias("depth"), F.lit(None).cast("string").alias("indent")]
+
+
+def range_effects(effects: DataFrame) -> DataFrame:
+    """The same columns for whole ranges, from those of their chunks."""
+    entry = F.struct("chunk", *[c for c in effects.columns if c not in CHUNK])
+    listed = effects.groupBy(*RANGE).agg(F.array_sort(F.collect_list(entry)).alias("_chunks"))
+
+    def go_on(state: Column, e: Column) -> Column:
+        reset, inside, depth = _begin(state, e)
+        return F.struct(*_end(inside, depth, e), (state["is_set"] | reset | e["set_depth"].isNotNull()).alias("is_set"))
+
+    for i, name in enumerate(("out", "in")):
+        start = F.struct(*_state(F.lit(bool(i)), F.lit(0)), F.lit(False).alias("is_set"))
+        listed = listed.withColumn(name, F.aggregate("_chunks", start, go_on))
+    first = F.col("_chunks")[0]
+    return listed.select(
+        *RANGE, F.col("out.indent").alias("indent"), first["record_indent"].alias("record_indent"),
+        *[c for name in ("out", "in") for c in (F.col(f"{name}.depth").alias(f"{name}_depth"), F.col(f"{name}.inside").alias(f"{name}_open"))],
+        F.when(F.col("out.is_set"), F.col("out.depth")).alias("set_depth"),
     )
 
+
+def _begins(effects: DataFrame, by: list[str], place: str, inside: Column, depth: Column) -> DataFrame:
+    """``by, place, begins_inside, begins_depth``: the state each entry begins in, where the first one of its group begins in the given one."""
+    entry = F.struct(place, "indent", "record_indent", "out_depth", "out_open", "in_depth", "in_open", "set_depth")
+    first = F.struct(inside.alias("inside"), depth.cast("long").alias("depth"))
+    listed = effects.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_entries"), F.first(first).alias("_first"))
+    found = F.array().cast(f"array<struct<{place}: bigint, begins_inside: boolean, begins_depth: bigint>>")
+    start = F.struct(*_state(F.col("_first.inside"), F.col("_first.depth")), found.alias("found"))
+
     def go_on(state: Column, e: Column) -> Column:
-        reset = F.coalesce(state["indent"] == e["record_indent"], F.lit(False))
-        inside, depth = ~reset & state["inside"], F.when(reset, F.lit(1)).otherwise(state["depth"]).cast("long")
-        own = F.struct(e["block"].alias("block"), inside.alias("begins_inside"), depth.alias("begins_depth"), reset.alias("begins_record"))
-        moved = F.when(e["from_0"].isNotNull(), 1 + e["depth_0"] - e["from_0"]).otherwise(depth + F.when(inside, e["depth_1"]).otherwise(e["depth_0"]))
-        return F.struct(
-            F.when(inside, e["inside_1"]).otherwise(e["inside_0"]).alias("inside"), moved.cast("long").alias("depth"),
-            e["indent"].alias("indent"), F.concat(state["found"], F.array(own)).alias("found"),
-        )
+        _, inside, depth = _begin(state, e)
+        own = F.struct(e[place].alias(place), inside.alias("begins_inside"), depth.alias("begins_depth"))
+        return F.struct(*_end(inside, depth, e), F.concat(state["found"], F.array(own)).alias("found"))
+
+    return listed.select(*by, F.inline(F.aggregate("_entries", start, go_on, lambda s: s["found"])))
 
-    return listed.select("source_file", F.inline(F.aggregate("_ends", start, go_on, lambda s: s["found"])))
+
+def chunk_starts(effects: DataFrame) -> DataFrame:
+    """The state each chunk begins in, from one row per chunk: ``source_file, block, chunk, begins_inside, begins_depth``."""
+    # a row a range and file: a terabyte has some eight thousand; then a row a chunk and range
+    starts = _begins(range_effects(effects), ["source_file"], "block", F.lit(False), F.lit(0))
+    return _begins(staged_join(effects, starts, RANGE), RANGE, "chunk", F.col("begins_inside"), F.col("begins_depth"))
+
+
+def _cutter():
+    """Chunks that know the state they begin in, cut where records begin."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        text_end = re.compile(_TEXT_END)
+        # all up to the next brace or bracket outside texts; a quote found here opens a text that does not end
+        step = re.compile(rb'[^"\\{}\[\]]*+(?:(?:\\[^{]|"' + _TEXT_END + rb')[^"\\{}\[\]]*+)*+([{}\[\]"\\]?)')
+
+        def beginnings(text, at, end, depth):
+            """Places between ``at``, outside texts, and ``end`` where records begin."""
+            for m in step.finditer(text, at, end):
+                c = m[1]
+                if c == b"{":
+                    if depth == 1:
+                        yield m.end() - 1
+                    depth += 1
+                elif c == b"}" or c == b"]":
+                    depth -= 1
+                elif c == b"[":
+                    depth += 1
+                elif c == b'"':
+                    return
+
+        def pieces(text, indent, inside, depth):
+            mark = None if indent is None else re.compile(rb"[,\[]" + re.escape(indent.encode()) + rb"(?=\{)")
+            resets = [m.end() for m in mark.finditer(text)] if mark else []
+            end, places = resets[0] if resets else len(text), []
+            if inside:
+                closed = text_end.match(text, 0, end)
+                places += beginnings(text, closed.end(), end, depth) if closed else []
+            else:
+                places += beginnings(text, 0, end, depth)
+            for at, end in zip(resets, [*resets[1:], len(text)]):
+                places += beginnings(text, at, end, 1)
+            return [text[a:b] for a, b in zip([0, *places], [*places, len(text)])]
+
+        for batch in batches:
+            given = (batch.column(c).to_pylist() for c in ("text", "record_indent", "begins_inside", "begins_depth"))
+            found = pa.array([pieces(*row) for row in zip(*given)], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CHUNK), found], [*CHUNK, "pieces"])
+
+    return cut
 
 
 def array_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(source_file, position, text) of each record of the array files at ``path``; see ``broken_arrays`` for the others."""
-    segments = read_segments(spark, path)
-    files = stage(files_of(segments), "files")
-    segments = staged_join(segments, files.where("is_array").drop("is_array"), ["source_file"])
-    starts = stage(range_starts(segments.drop("text")), "range_starts")
-
-    rows = _states(staged_join(segments, starts, RANGE))
-    inside = F.when(F.col("begins_inside"), F.col("inside_1")).otherwise(F.col("inside_0"))
-    sums = F.when(F.col("begins_inside"), F.col("depth_1")).otherwise(F.col("depth_0"))
-    depth = F.when(F.col("from_0").isNotNull(), 1 + F.col("depth_0") - F.col("from_0")).otherwise(F.col("begins_depth") + sums)
-    first_here = F.lag("line").over(Window.partitionBy(*RANGE).orderBy("line")).isNull()
-    begins = F.col("reset") | (first_here & F.col("begins_record")) | (~inside & (depth == 1))
-    begins = begins & (F.col("line") != F.col("first_line"))
-    so_far = Window.partitionBy(*RANGE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_begins", begins).withColumn("record", F.sum(F.col("_begins").cast("long")).over(so_far))
-    # the brace in front of a piece was left out, but for the one in front of the file
-    piece = F.when(F.col("line") == F.col("first_line"), F.col("text")).otherwise(F.concat(F.lit("{"), "text"))
-    pieces = rows.groupBy(*RANGE, "record").agg(F.sort_array(F.collect_list(F.struct("line", piece.alias("text")))).alias("_p"))
-    pieces = stage(pieces.select(*RANGE, "record", F.array_join("_p.text", "").alias("text")), "pieces")
-
-    ranges = pieces.groupBy(*RANGE).agg(F.max("record").alias("last"))
-    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("offset", F.coalesce(F.sum("last").over(before), F.lit(0)))
-    numbered = staged_join(pieces, ranges, RANGE).withColumn("position", F.col("offset") + F.col("record") - 1)
+    chunks = read_chunks(spark, path)
+    files = files_of(chunks).where("is_array").drop("is_array")
+    chunks = staged_join(chunks.drop("is_array", "record_indent"), files, ["source_file"])
+    starts = chunk_starts(stage(chunk_effects(chunks), "effects"))
+
+    begun = staged_join(chunks, starts, CHUNK).select(*CHUNK, "text", "record_indent", "begins_inside", "begins_depth")
+    # pieces of a chunk: the rest of the record before it, then its own records, the last one perhaps unfinished
+    pieces = stage(begun.mapInArrow(_cutter(), "source_file string, block long, chunk long, pieces array<binary>"), "pieces")
+    counts = pieces.select(*CHUNK, (F.size("pieces") - 1).cast("long").alias("last"))
+    before = Window.partitionBy("source_file").orderBy("block", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("offset", F.coalesce(F.sum("last").over(before), F.lit(0)))
+    numbered = staged_join(pieces, counts, CHUNK).select(*CHUNK, "last", "offset", F.posexplode("pieces").alias("record", "text"))
+    numbered = numbered.withColumn("position", F.col("offset") + F.col("record") - 1)
     at_border = (F.col("record") == 0) | (F.col("record") == F.col("last"))
-    whole = numbered.where(~at_border).select("source_file", "position", "text")
-    joined = numbered.where(at_border).groupBy("source_file", "position").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("_p"))
+    whole = numbered.where(~at_border).select("source_file", "position", F.col("text").cast("string").alias("text"))
+    piece = F.struct("block", "chunk", F.col("text").cast("string").alias("text"))
+    joined = numbered.where(at_border).groupBy("source_file", "position").agg(F.sort_array(F.collect_list(piece)).alias("_p"))
     records = whole.unionByName(joined.select("source_file", "position", F.array_join("_p.text", "").alias("text")))
     # the comma after a record, or the bracket that ends the array
     return records.where("position >= 0").withColumn("text", F.regexp_replace("text", r"[\s,\]]*$", ""))
 
 
 def broken_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files that do not begin with an array of objects, with the reason; found from their first range alone."""
-    files = files_of(read_segments(spark, path))
+    """Files that do not begin with an array of objects, with the reason; found from their first chunk alone."""
+    files = files_of(read_chunks(spark, path))
     return files.where("NOT is_array").select("source_file", F.lit(NOT_ARRAY).alias("reject_reason"))
 
 
