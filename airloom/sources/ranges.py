@@ -29,16 +29,16 @@ from airloom.sources.landed import NOT_ARRAY
 
 RANGE = ["source_file", "block"]
 CHUNK = [*RANGE, "chunk"]
-CHUNK_BYTES = 2**18
 # The rest of a text and its end: a quote, or a line end, which is left where it stands. An escape never takes a segment's brace along.
 _TEXT_END = rb'(?:[^"\\\n]++|\\(?:[^{]|(?=\{)))*+(?:"|(?=\n))'
 
 
-def _joiner(limit: int):
-    """Segments in the reader's order, put together in chunks."""
+def _joiner():
+    """Segments in the reader's order, put together in chunks: those of a range that came in one batch."""
 
     def join(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         white = b" \t\n\x0b\f\r"
         indented = re.compile(rb"\n[ \t]+(?:\r\n|\r|\n)?\Z")
@@ -49,33 +49,24 @@ def _joiner(limit: int):
             space = segment[len(body):]
             return space.decode() if body[-1:] in (b"[", b",") and indented.search(space) else None
 
-        def row(key, number, parts):
-            begins_file = key[1] == 0 and number == 0
-            # the brace in front of a segment was left out, but for the one in front of the file
-            text = b"{".join(parts) if begins_file else b"{" + b"{".join(parts)
-            is_array = parts[0].translate(None, white) == b"[" if begins_file else None
-            return *key, number, text, indent(parts[-1]), is_array, indent(parts[0]) if begins_file else None
-
-        def table(rows):
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.string()]
-            names = [*CHUNK, "text", "indent", "is_array", "record_indent"]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-        key, number, parts, size = (None, None), 0, [], 0
+        key, number = None, 0
         for batch in batches:
-            rows = []
-            for file, block, segment in zip(*(c.to_pylist() for c in batch.columns)):
-                if size >= limit or block != key[1] or file != key[0]:
-                    if parts:
-                        rows.append(row(key, number, parts))
-                    number = number + 1 if key == (file, block) else 0
-                    key, parts, size = (file, block), [], 0
-                parts.append(segment)
-                size += len(segment) + 1
+            rows, text = [], batch.column("text")
+            ends = sorted({e for c in ("source_file", "block") for e in pc.run_end_encode(batch.column(c)).run_ends.to_pylist()})
+            begins = [0, *ends[:-1]]
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, *ends], text), b"{")
+            for begin, end, whole in zip(begins, ends, joined):
+                here = batch.column("source_file")[begin].as_py(), batch.column("block")[begin].as_py()
+                key, number = here, number + 1 if key == here else 0
+                first, last, whole = text[begin].as_py(), text[end - 1].as_py(), whole.as_py()
+                if key[1] == 0 and number == 0:
+                    rows.append((*key, number, whole, indent(last), first.translate(None, white) == b"[", indent(first)))
+                else:  # the brace in front of a segment was left out, but for the one in front of the file
+                    rows.append((*key, number, b"{" + whole, indent(last), None, None))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.string()]
+            names = ["source_file", "block", "chunk", "text", "indent", "is_array", "record_indent"]
             if rows:
-                yield table(rows)
-        if parts:
-            yield table([row(key, number, parts)])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return join
 
@@ -90,12 +81,15 @@ def read_chunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("value").cast("binary").alias("text"),
     )
     told = "source_file string, block long, chunk long, text binary, indent string, is_array boolean, record_indent string"
-    return stage(segments.mapInArrow(_joiner(CHUNK_BYTES), told), "chunks")
+    return stage(segments.mapInArrow(_joiner(), told), "chunks")
 
 
 def files_of(chunks: DataFrame) -> DataFrame:
-    """One row per file: whether it begins with an array, and the indent of its records."""
-    return chunks.where("block = 0 AND chunk = 0").select("source_file", "record_indent", "is_array")
+    """One row per file: whether it begins with an array, the indent of its records, and the place of its last chunk."""
+    place, first = F.struct("block", "chunk"), F.struct("record_indent", "is_array")
+    files = chunks.groupBy("source_file").agg(
+        F.max(F.when((F.col("block") == 0) & (F.col("chunk") == 0), first)).alias("first"), F.max(place).alias("last"))
+    return files.where("first IS NOT NULL").select("source_file", "first.*", "last")
 
 
 def _effects():
@@ -119,13 +113,17 @@ def _effects():
 
         for batch in batches:
             found = []
-            for text, indent in zip(batch.column("text").to_pylist(), batch.column("record_indent").to_pylist()):
+            given = (batch.column(c).to_pylist() for c in ("block", "chunk", "text", "record_indent"))
+            for block, chunk, text, indent in zip(*given):
+                if text is None:
+                    found.append((0, False, 0, False, None))
+                    continue
                 marks = [] if indent is None else [text.rfind(c + indent.encode() + b"{") for c in (b",", b"[")]
                 if max(marks, default=-1) >= 0:  # what stands before the last reset has no effect
                     depth, still_open = effect(text[max(marks) + 1 + len(indent):], False)
                     found.append((0, still_open, 0, still_open, 1 + depth))
-                else:
-                    found.append((*effect(text, False), *effect(text, True), None))
+                else:  # a file begins outside texts
+                    found.append((*effect(text, False), *(effect(text, True) if block or chunk else (0, False)), None))
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64()]
             columns = [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)]
             kept = [*CHUNK, "indent", "record_indent"]
@@ -137,9 +135,11 @@ def _effects():
 
 def chunk_effects(chunks: DataFrame) -> DataFrame:
     """For each chunk the change of depth and whether a text is open at its end, both where it begins outside texts (``out_``) and inside one
-    (``in_``), and the depth at its end where that does not depend on its beginning (``set_depth``)."""
+    (``in_``), and the depth at its end where that does not depend on its beginning (``set_depth``). Nothing follows the last chunk of a file,
+    so its text is not looked at."""
     told = "source_file string, block long, chunk long, indent string, record_indent string, out_depth long, out_open boolean, in_depth long, in_open boolean, set_depth long"
-    return chunks.select(*CHUNK, "text", "indent", "record_indent").mapInArrow(_effects(), told)
+    text = F.when(F.struct("block", "chunk") != F.col("last"), F.col("text")).alias("text")
+    return chunks.select(*CHUNK, text, "indent", "record_indent").mapInArrow(_effects(), told)
 
 
 def _begin(state: Column, e: Column) -> tuple[Column, Column, Column]:
@@ -269,8 +269,13 @@ def array_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     piece = F.struct("block", "chunk", F.col("text").cast("string").alias("text"))
     joined = numbered.where(at_border).groupBy("source_file", "position").agg(F.sort_array(F.collect_list(piece)).alias("_p"))
     records = whole.unionByName(joined.select("source_file", "position", F.array_join("_p.text", "").alias("text")))
-    # the comma after a record, or the bracket that ends the array
-    return records.where("position >= 0").withColumn("text", F.regexp_replace("text", r"[\s,\]]*$", ""))
+    return records.where("position >= 0").withColumn("text", _without_end(F.col("text")))
+
+
+def _without_end(text: Column) -> Column:
+    """Leaves out the comma after a record, or the bracket that ends the array."""
+    rare = text.endswith("\u0085") | text.endswith("\u2028") | text.endswith("\u2029")  # line ends to a pattern only
+    return F.when(rare, F.regexp_replace(text, r"[\s,\]]*$", "")).otherwise(F.rtrim(text, F.lit(" \t\n\x0b\f\r,]")))
 
 
 def broken_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -115,3 +115,42 @@ def test_records_are_those_of_the_whole_file_reader(spark, small_ranges):
     a, b = (landed.accepted(landed.typed_records(r)).select("source_file", "position", *FLAT) for r in (whole, cut))
     b = b.withColumn("position", b["position"].cast("int"))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@pytest.fixture
+def small_chunks(spark):
+    before = spark.conf.get(BATCH)
+    yield lambda n: spark.conf.set(BATCH, n)
+    spark.conf.set(BATCH, before)
+
+
+@pytest.mark.parametrize("chunk, size", [(1, 10**7), (4, 10**7), (3, 900)])
+def test_records_do_not_depend_on_chunks(spark, small_ranges, small_chunks, chunk, size):
+    random.seed(2)
+    rows = [record(i) for i in range(12)]
+    text = json.dumps(rows, indent=2)
+    texts = [json.dumps(rows), text, *[text.replace(*d) for d in DAMAGE], '[{"a": "{"}, {"b\\": [{]', '[{"a": 1, "b": "x, {}, {"}, 7, {}]\u2028']
+    path = land(spark, texts)
+    one = read(spark, path)
+    small_ranges(size)
+    small_chunks(chunk)
+    assert read(spark, path) == one
+    assert [json.loads(t) for t in one[0]] == rows and [json.loads(t) for t in one[1]] == rows
+
+
+def test_tables_between_hold_chunks_and_not_every_brace(spark, monkeypatch):
+    staged = {}
+
+    def counted(df, name):
+        table = stage(df, name)
+        staged[f"{name} {len(staged)}"] = table.count()
+        return table
+
+    stage = ranges.stage
+    monkeypatch.setattr(ranges, "stage", counted)
+    path = land(spark, [json.dumps([{"value": i, "p": {"a": {"b": i}}} for i in range(2000)])])
+    assert ranges.array_records(spark, path).count() == 2000
+    assert staged and max(staged.values()) <= 20  # 6,001 before
